@@ -1,4 +1,4 @@
 """Registered queries: importing this package fills the registry."""
 
-from . import condition, fleet  # noqa: F401
+from . import cases, condition, fleet, reroute  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
