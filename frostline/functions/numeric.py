@@ -17,18 +17,18 @@ def round_to(value, digits: int) -> Column:
     """Round the exact binary value, ties to even.
 
     ``F.round`` rounds the printed decimal instead, so 1.005 becomes 1.01
-    there and 1.0 here. The rounding error of ``value * 10**digits`` decides
-    the cases that land exactly on a half.
+    there and 1.0 here. ``rint`` is right unless the scaled value lands on a
+    half only because of its own rounding error; then the error decides.
     """
     x = as_column(value)
     scale = float(10**digits)
     scaled = x * F.lit(scale)
+    nearest = F.rint(scaled)
     high = x * F.lit(_SPLITTER) - (x * F.lit(_SPLITTER) - x)
     error = (high * F.lit(scale) - scaled) + (x - high) * F.lit(scale)
-    floor = F.floor(scaled).cast("double")
-    part = scaled - floor
-    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (floor % 2 != 0))))
-    return F.when(F.isnan(x), x).otherwise((floor + F.when(up, 1.0).otherwise(0.0)) / F.lit(scale))
+    off = scaled - nearest
+    wrong = (F.abs(off) == 0.5) & (error * off > 0)
+    return (nearest + F.when(wrong, off * 2.0).otherwise(0.0)) / F.lit(scale)
 
 
 def plain(value, digits: int) -> Column:

@@ -6,12 +6,14 @@ which has no poles and no date line. For every cell that holds readings the
 finest level is taken whose 3x3x3 block of cells has at least k centres. The
 k-th centre is then no further than the block's diagonal from its middle cell,
 2*sqrt(3) cells, so the block two levels up, which reaches 4 cells in every
-direction, holds all answers and only its centres are compared. The sizes of
-the cell tables depend on the area covered, not on the number of readings.
+direction, holds all answers; of its centres only those within the bound are
+compared. The sizes of the cell tables depend on the area covered, not on the
+number of readings.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +30,9 @@ BITS = 15
 RADIUS_KM = 350.0
 SPEED_KMPH = 45.0
 
+# Distances are ranked in hundredths of a km; twice that step covers equal ranks.
+ROUNDING_KM = 0.02
+
 # A reading without a cargo type may go to any centre.
 ANY_CARGO = ""
 
@@ -55,13 +60,24 @@ def eligible(centres: DataFrame, min_available: int = 1, require_operational: bo
     return open_
 
 
-def _axis(value: Column) -> Column:
-    return F.floor((value * EARTH_RADIUS_KM + 6400.0) / FINE_KM).cast("bigint")
+def _position(lat: str, lon: str) -> dict[str, Column]:
+    """Point on the globe in km from its middle."""
+    la, lo = F.radians(as_column(lat)), F.radians(as_column(lon))
+    r = F.lit(EARTH_RADIUS_KM)
+    return {"_px": r * F.cos(la) * F.cos(lo), "_py": r * F.cos(la) * F.sin(lo), "_pz": r * F.sin(la)}
 
 
-def _fine_cell(lat: str, lon: str) -> dict[str, Column]:
-    la, lo = F.radians(as_column(lat)), F.radians(as_column(lon))
-    return {"_x": _axis(F.cos(la) * F.cos(lo)), "_y": _axis(F.cos(la) * F.sin(lo)), "_z": _axis(F.sin(la))}
+def _fine_cell() -> dict[str, Column]:
+    return {
+        cell: F.floor((F.col(point) + 6400.0) / FINE_KM).cast("bigint")
+        for cell, point in (("_x", "_px"), ("_y", "_py"), ("_z", "_pz"))
+    }
+
+
+def _chord_squared(prefix: str = "centre_") -> Column:
+    """Squared straight-line distance between reading and centre."""
+    steps = [F.col(axis) - F.col(f"{prefix}{axis}") for axis in ("_px", "_py", "_pz")]
+    return steps[0] * steps[0] + steps[1] * steps[1] + steps[2] * steps[2]
 
 
 def _cell(level: Column, x: str = "_x", y: str = "_y", z: str = "_z") -> Column:
@@ -77,7 +93,7 @@ def _neighbours(cell: Column) -> Column:
     """The cell and its 26 neighbours; steps beyond the grid give numbers no cell has."""
     side = 2**BITS
     steps = [(dx * side + dy) * side + dz for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1)]
-    return F.explode(F.transform(F.array(*[F.lit(s).cast("bigint") for s in steps]), lambda s: cell + s))
+    return F.explode(F.array(*[cell + F.lit(s).cast("bigint") for s in steps]))
 
 
 def _levels() -> Column:
@@ -99,12 +115,13 @@ def _centre_points(centres: DataFrame, k: int) -> DataFrame:
     )
     return (
         per_cargo.withColumn("_n", F.row_number().over(same_point)).filter(F.col("_n") <= k)
-        .withColumns(_fine_cell("lat", "lon")).select("_cargo", "centre", "_x", "_y", "_z")
+        .withColumns(_position("lat", "lon")).withColumns(_fine_cell())
+        .select("_cargo", "centre", "_px", "_py", "_pz", "_x", "_y", "_z")
     )
 
 
 def _search_cells(cells: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """For each finest cell with readings, the cell around which all its answers lie."""
+    """For each finest cell with readings, the cell around which all its answers lie and how far they can be."""
     fine = points.groupBy("_cargo", "_x", "_y", "_z").agg(F.count("*").alias("_n"))
     by_level = fine.select("_cargo", "_x", "_y", "_z", "_n", _levels().alias("_level")).select(
         "_cargo", _cell(F.col("_level")).alias("_cell"), "_n"
@@ -120,8 +137,11 @@ def _search_cells(cells: DataFrame, points: DataFrame, k: int) -> DataFrame:
         .groupBy("_cargo", "_x", "_y", "_z").agg(F.max("_level").alias("_level"))
     )
     level = F.greatest(F.coalesce("_level", F.lit(0)) - 2, F.lit(0))
+    # The diagonal of the block, and a little for distances that only differ after rounding.
+    bound = F.lit(2 * math.sqrt(3.0) * COARSE_KM) / F.pow(F.lit(2.0), F.col("_level")) + F.lit(ROUNDING_KM)
     return cells.join(finest, ["_cargo", "_x", "_y", "_z"], "left").select(
-        "_cargo", "_x", "_y", "_z", _cell(level).alias("_search"), level.alias("_level")
+        "_cargo", "_x", "_y", "_z", _cell(level).alias("_search"), level.alias("_level"),
+        F.coalesce(bound, F.lit(4 * EARTH_RADIUS_KM)).alias("_bound"),
     )
 
 
@@ -144,7 +164,7 @@ def nearest_centres(
         readings.filter(as_column(lat).isNotNull() & as_column(lon).isNotNull())
         .select(*keys, as_column(lat).alias("_lat"), as_column(lon).alias("_lon"),
                 F.coalesce(lower_name(cargo), F.lit(ANY_CARGO)).alias("_cargo"))
-        .withColumns(_fine_cell("_lat", "_lon"))
+        .withColumns(_position("_lat", "_lon")).withColumns(_fine_cell())
     )
     points = _centre_points(centres, k)
     cells = places.select("_cargo", "_x", "_y", "_z").distinct()
@@ -153,14 +173,16 @@ def nearest_centres(
     reach = search.select("_cargo", "_search", "_level").distinct().select(
         "_cargo", "_search", _neighbours(F.col("_search")).alias("_cell")
     )
-    at_level = points.select("_cargo", "centre", "_x", "_y", "_z", _levels().alias("_level")).select(
-        "_cargo", "centre", _cell(F.col("_level")).alias("_cell")
+    at = [F.col(axis).alias(f"centre_{axis}") for axis in ("_px", "_py", "_pz")]
+    at_level = points.select("_cargo", "centre", *at, "_x", "_y", "_z", _levels().alias("_level")).select(
+        "_cargo", "centre", "centre__px", "centre__py", "centre__pz", _cell(F.col("_level")).alias("_cell")
     )
-    candidates = reach.join(at_level, ["_cargo", "_cell"]).select("_cargo", "_search", "centre")
+    candidates = reach.join(at_level, ["_cargo", "_cell"]).drop("_cell")
 
     found = (
         places.join(search.drop("_level"), ["_cargo", "_x", "_y", "_z"])
         .join(candidates, ["_cargo", "_search"])
+        .filter(_chord_squared() <= F.col("_bound") * F.col("_bound"))
         .withColumn("_km", haversine_km("_lat", "_lon", "centre.lat", "centre.lon"))
         .filter(F.col("_km") <= radius_km)
         .withColumn("distance_km", round_to("_km", 2))

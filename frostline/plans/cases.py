@@ -9,6 +9,7 @@ from ..functions.numeric import round_to
 from ..operators import exposure
 from ..operators.asof import match_latest
 from ..operators.risk import analyse
+from ..session import materialise
 from .condition import EXPOSED
 from .registry import query, rounded
 from .tables import Tables
@@ -82,18 +83,22 @@ def published(t: Tables) -> DataFrame:
     return run.select(*t.telemetry.columns, *[round_to(c, 2).alias(c) for c in exposure.EXPOSURE_FIELDS])
 
 
-def match(t: Tables, age: int = TELEMETRY_AGE, wait: int = PREDICTION_WAIT, readings: DataFrame | None = None) -> DataFrame:
-    """Predictions with the reading each is decided on; predictions that meet none are dropped."""
+def match(t: Tables, age: int = TELEMETRY_AGE, wait: int = PREDICTION_WAIT) -> DataFrame:
+    """Predictions with the reading each is decided on; predictions that meet none are dropped.
+
+    Only the reading's id and time take part in the matching.
+    """
+    readings = t.telemetry.select("asset_id", "event_id", "ts")
     pairs = match_latest(
-        t.prediction, t.telemetry if readings is None else readings, "asset_id",
-        left_order="prediction_id", right_order="event_id", max_age_s=age, wait_s=wait,
+        t.prediction, readings, "asset_id", left_order="prediction_id", right_order="event_id", max_age_s=age, wait_s=wait
     ).filter(F.col("right").isNotNull())
     return pairs.select(
-        "right.*",
-        F.col("left.prediction_id").alias("prediction_id"),
+        "left.asset_id",
+        "right.event_id",
+        "left.prediction_id",
         F.col("left.ts").alias("prediction_ts"),
-        F.col("left.predicted_risk_proxy").alias("predicted_risk_proxy"),
-        F.col("left.time_to_failure_hours").alias("time_to_failure_hours"),
+        "left.predicted_risk_proxy",
+        "left.time_to_failure_hours",
         "waited",
         F.greatest("left.ts", "right.ts").alias("matched_ts"),
     )
@@ -101,10 +106,15 @@ def match(t: Tables, age: int = TELEMETRY_AGE, wait: int = PREDICTION_WAIT, read
 
 def cases(t: Tables) -> DataFrame:
     """Analysed cases: reading, exposure, target band and prediction."""
-    pairs = match(t, readings=published(t))
+    pairs = match(t).join(published(t), ["asset_id", "event_id"])
     return analyse(exposure.band(exposure.with_profile(pairs, t.profiles)))
 
 
+def case_table(t: Tables) -> DataFrame:
+    """The cases computed once; rerouting and decisions read them several times."""
+    return materialise(cases(t), "cases")
+
+
 @query(
     "asof_prediction",
     f"with {DECISION_MATCH} select asset_id, prediction_id, event_id, waited, matched_ts from matched",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..data import profiles
 from ..operators import nearest, routing
-from .cases import CASES, cases
+from .cases import CASES, case_table
 from .registry import query, rounded
 from .tables import Tables
 
@@ -124,7 +124,7 @@ def wanted_results() -> F.Column:
 )
 def reroute_benefit(t: Tables) -> DataFrame:
     """Score of every centre considered for an urgent case."""
-    urgent = urgent_cases(cases(t))
+    urgent = urgent_cases(case_table(t))
     near = nearest.nearest_centres(urgent, nearest.eligible(t.centre), routing.CASE_KEYS, 6)
     wanted = urgent.withColumn("_results", wanted_results()).drop("rank")
     offers = near.join(wanted, list(routing.CASE_KEYS)).filter(F.col("rank") <= routing.offers_considered(F.col("_results")))
@@ -139,7 +139,7 @@ def reroute_benefit(t: Tables) -> DataFrame:
     f"with {SCORED} select asset_id, prediction_id, target_dc, dc_name, eta_hours, distance_km, benefit_score, alternatives from best",
 )
 def reroute_best(t: Tables) -> DataFrame:
-    best = routing.recommend(urgent_cases(cases(t)), t.centre, wanted_results())
+    best = routing.recommend(urgent_cases(case_table(t)), t.centre, wanted_results())
     dc = "recommended_dc"
     return best.select(
         "asset_id", "prediction_id", F.col(f"{dc}.id").alias("target_dc"), F.col(f"{dc}.name").alias("dc_name"),
