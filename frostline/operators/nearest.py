@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 
 from ..functions.numeric import EARTH_RADIUS_KM, haversine_km, round_to
 from ..functions.values import as_column, lower_name
+from ..session import materialise
 
 LEVELS = 10
 COARSE_KM = 400.0
@@ -166,9 +167,10 @@ def nearest_centres(
                 F.coalesce(lower_name(cargo), F.lit(ANY_CARGO)).alias("_cargo"))
         .withColumns(_position("_lat", "_lon")).withColumns(_fine_cell())
     )
-    points = _centre_points(centres, k)
+    # Both tables are small next to the readings and read more than once below.
+    points = materialise(_centre_points(centres, k), "centre-points")
     cells = places.select("_cargo", "_x", "_y", "_z").distinct()
-    search = _search_cells(cells, points, k)
+    search = materialise(_search_cells(cells, points, k), "search-cells")
 
     reach = search.select("_cargo", "_search", "_level").distinct().select(
         "_cargo", "_search", _neighbours(F.col("_search")).alias("_cell")
