@@ -15,6 +15,8 @@ Build = Callable[[Tables], DataFrame]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+# The checks as written, without the derived tables, for queries that share one.
+CHECKS: dict[str, str] = {}
 
 
 def plain_times(df: DataFrame) -> DataFrame:
@@ -58,6 +60,7 @@ def query(name: str, check: str | None = None) -> Callable[[Build], Build]:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = lambda spark, folder: plain_times(build(Tables(spark, folder)))
         if check is not None:
+            CHECKS[name] = check
             ORACLES[name] = with_tables(check)
         return build
 
