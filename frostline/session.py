@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
-def local_session(cores: int | str = "*", partitions: int = 8, app: str = "frostline") -> SparkSession:
+def local_session(cores: int | str = "*", partitions: int = 8, app: str = "frostline", folder: str | None = None) -> SparkSession:
     """Session for tests and the benchmark; a cluster brings its own."""
+    builder = SparkSession.builder if folder is None else SparkSession.builder.config(CHECKPOINT_DIR, folder)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
@@ -31,6 +32,10 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Private folders of local sessions without a named one, by application.
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
@@ -42,8 +47,12 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{CHECKPOINT_DIR} must name a folder all executors can reach")
+    return _local_folders.setdefault(spark.sparkContext.applicationId, "") or _new_local_folder(spark)
+
+
+def _new_local_folder(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="frostline-")
-    spark.conf.set(CHECKPOINT_DIR, folder)
+    _local_folders[spark.sparkContext.applicationId] = folder
     return folder
 
 
