@@ -33,9 +33,7 @@ def round_to(value, digits: int) -> Column:
 
 def plain(value, digits: int) -> Column:
     """Shortest text of a number rounded to ``digits``, with at least one decimal."""
-    fixed = round_to(value, digits).cast(f"decimal(30,{digits})").cast("string")
-    short = F.regexp_replace(fixed, "0+$", "")
-    return F.when(short.endswith("."), F.concat(short, F.lit("0"))).otherwise(short)
+    return F.regexp_replace(fixed(value, digits), r"(\.\d+?)0+$", "$1")
 
 
 def fixed(value, digits: int) -> Column:

@@ -20,9 +20,6 @@ TIME_TO_FAILURE_FIELDS = (
     "eta_to_failure_hours",
 )
 
-_JAVA_SUFFIXED_NUMBER = r"^[+-]?[0-9.]+([eE][+-]?[0-9]+)?[dDfF]$"
-
-
 def as_column(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
@@ -35,12 +32,11 @@ def number(value, default: float | None = 0.0) -> Column:
     group underscores are.
     """
     text = F.trim(as_column(value).cast("string"))
-    parsed = (
-        F.when(F.lower(text) == "true", F.lit(1.0))
-        .when(F.lower(text) == "false", F.lit(0.0))
-        .when(~text.rlike(_JAVA_SUFFIXED_NUMBER), F.regexp_replace(text, r"(?<=\d)_(?=\d)", "").try_cast("double"))
-    )
-    return F.coalesce(parsed, F.lit(default).cast("double"))
+    lower = F.lower(text)
+    digits = F.when(F.contains(text, F.lit("_")), F.regexp_replace(text, r"(?<=\d)_(?=\d)", "")).otherwise(text)
+    suffixed = lower.endswith("d") | (lower.endswith("f") & ~lower.endswith("inf"))
+    word = F.when(lower == "true", F.lit(1.0)).when(lower == "false", F.lit(0.0))
+    return F.coalesce(F.when(~suffixed, digits.try_cast("double")), word, F.lit(default).cast("double"))
 
 
 def truth(value) -> Column:

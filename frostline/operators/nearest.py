@@ -6,8 +6,8 @@ which has no poles and no date line. For every cell that holds readings the
 finest level is taken whose 3x3x3 block of cells has at least k centres. The
 k-th centre is then no further than the block's diagonal from its middle cell,
 2*sqrt(3) cells, so the block two levels up, which reaches 4 cells in every
-direction, holds all answers; of its centres only those within the bound are
-compared. The sizes of the cell tables depend on the area covered, not on the
+direction, holds all answers; of its centres only those within the bound of the
+middle cell are compared. The sizes of the cell tables depend on the area covered, not on the
 number of readings.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 
 from ..functions.numeric import EARTH_RADIUS_KM, haversine_km, round_to
 from ..functions.values import as_column, lower_name
-from ..session import materialise
+from ..session import materialise, partitions
 
 LEVELS = 10
 COARSE_KM = 400.0
@@ -81,13 +81,15 @@ def _chord_squared(prefix: str = "centre_") -> Column:
     return steps[0] * steps[0] + steps[1] * steps[1] + steps[2] * steps[2]
 
 
-def _cell(level: Column, x: str = "_x", y: str = "_y", z: str = "_z") -> Column:
-    """One number for the cell of a level that holds a finest cell."""
-    def up(axis: str) -> Column:
-        return F.call_function("shiftright", F.col(axis), (F.lit(LEVELS) - level).cast("int"))
+def _ancestor(axis: str, level: Column) -> Column:
+    return F.call_function("shiftright", F.col(axis), (F.lit(LEVELS) - level).cast("int"))
+
 
+def _cell(level: Column) -> Column:
+    """One number for the cell of a level that holds a finest cell."""
     side = F.lit(2**BITS).cast("bigint")
-    return ((level.cast("bigint") * side + up(x)) * side + up(y)) * side + up(z)
+    x, y, z = (_ancestor(axis, level) for axis in ("_x", "_y", "_z"))
+    return ((level.cast("bigint") * side + x) * side + y) * side + z
 
 
 def _neighbours(cell: Column) -> Column:
@@ -122,7 +124,7 @@ def _centre_points(centres: DataFrame, k: int) -> DataFrame:
 
 
 def _search_cells(cells: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """For each finest cell with readings, the cell around which all its answers lie and how far they can be."""
+    """For each finest cell with readings, the cell that decides its candidates and how far those can be."""
     fine = points.groupBy("_cargo", "_x", "_y", "_z").agg(F.count("*").alias("_n"))
     by_level = fine.select("_cargo", "_x", "_y", "_z", "_n", _levels().alias("_level")).select(
         "_cargo", _cell(F.col("_level")).alias("_cell"), "_n"
@@ -137,15 +139,28 @@ def _search_cells(cells: DataFrame, points: DataFrame, k: int) -> DataFrame:
         candidates.join(enough, ["_cargo", "_cell"], "left_semi")
         .groupBy("_cargo", "_x", "_y", "_z").agg(F.max("_level").alias("_level"))
     )
-    level = F.greatest(F.coalesce("_level", F.lit(0)) - 2, F.lit(0))
+    own = F.coalesce("_level", F.lit(0))
+    above = F.greatest(own - 2, F.lit(0))
+    size = F.lit(COARSE_KM) / F.pow(F.lit(2.0), own)
     # The diagonal of the block, and a little for distances that only differ after rounding.
-    bound = F.lit(2 * math.sqrt(3.0) * COARSE_KM) / F.pow(F.lit(2.0), F.col("_level")) + F.lit(ROUNDING_KM)
+    bound = F.when(F.col("_level").isNotNull(), F.lit(2 * math.sqrt(3.0)) * size + F.lit(ROUNDING_KM))
     return cells.join(finest, ["_cargo", "_x", "_y", "_z"], "left").select(
-        "_cargo", "_x", "_y", "_z", _cell(level).alias("_search"), level.alias("_level"),
-        F.coalesce(bound, F.lit(4 * EARTH_RADIUS_KM)).alias("_bound"),
+        "_cargo", "_x", "_y", "_z", _cell(own).alias("_own"), _cell(above).alias("_search"),
+        F.coalesce(bound, F.lit(4 * EARTH_RADIUS_KM)).alias("_bound"), size.alias("_size"),
+        *[(_ancestor(axis, own) * size - 6400.0).alias(f"_low{axis}") for axis in ("_x", "_y", "_z")],
     )
 
 
+def _outside_squared() -> Column:
+    """Squared distance from a centre to the nearest point of a cell."""
+    total = F.lit(0.0)
+    for low, axis in (("_low_x", "_px"), ("_low_y", "_py"), ("_low_z", "_pz")):
+        at = F.col(f"centre_{axis}")
+        step = F.greatest(F.col(low) - at, at - (F.col(low) + F.col("_size")), F.lit(0.0))
+        total = total + step * step
+    return total
+
+
 def nearest_centres(
     readings: DataFrame,
     centres: DataFrame,
@@ -167,23 +182,29 @@ def nearest_centres(
                 F.coalesce(lower_name(cargo), F.lit(ANY_CARGO)).alias("_cargo"))
         .withColumns(_position("_lat", "_lon")).withColumns(_fine_cell())
     )
+    cells = places.select("_cargo", "_x", "_y", "_z").distinct()
+    # Spread by reading: the joins multiply rows, and the ranking below finds them in place.
+    places = places.repartition(partitions(places.sparkSession), *keys)
     # Both tables are small next to the readings and read more than once below.
     points = materialise(_centre_points(centres, k), "centre-points")
-    cells = places.select("_cargo", "_x", "_y", "_z").distinct()
     search = materialise(_search_cells(cells, points, k), "search-cells")
 
-    reach = search.select("_cargo", "_search", "_level").distinct().select(
-        "_cargo", "_search", _neighbours(F.col("_search")).alias("_cell")
+    low = ["_low_x", "_low_y", "_low_z"]
+    reach = search.select("_cargo", "_own", "_search", "_bound", "_size", *low).distinct().select(
+        "_cargo", "_own", "_bound", "_size", *low, _neighbours(F.col("_search")).alias("_cell")
     )
     at = [F.col(axis).alias(f"centre_{axis}") for axis in ("_px", "_py", "_pz")]
     at_level = points.select("_cargo", "centre", *at, "_x", "_y", "_z", _levels().alias("_level")).select(
         "_cargo", "centre", "centre__px", "centre__py", "centre__pz", _cell(F.col("_level")).alias("_cell")
     )
-    candidates = reach.join(at_level, ["_cargo", "_cell"]).drop("_cell")
+    candidates = (
+        reach.join(at_level, ["_cargo", "_cell"]).filter(_outside_squared() <= F.col("_bound") * F.col("_bound"))
+        .select("_cargo", "_own", "centre", "centre__px", "centre__py", "centre__pz")
+    )
 
     found = (
-        places.join(search.drop("_level"), ["_cargo", "_x", "_y", "_z"])
-        .join(candidates, ["_cargo", "_search"])
+        places.join(search.select("_cargo", "_x", "_y", "_z", "_own", "_bound"), ["_cargo", "_x", "_y", "_z"])
+        .join(candidates, ["_cargo", "_own"])
         .filter(_chord_squared() <= F.col("_bound") * F.col("_bound"))
         .withColumn("_km", haversine_km("_lat", "_lon", "centre.lat", "centre.lon"))
         .filter(F.col("_km") <= radius_km)

@@ -203,8 +203,11 @@ ALERTS = f"{DECIDED}, {SEVERITY}"
 
 
 def planned_cases(t: Tables) -> DataFrame:
-    """Analysed cases with their reroute offers and cooling plan."""
-    return cooling.plan(decisions.with_reroute(case_table(t), t.centre))
+    """Analysed cases with their reroute offers and cooling plan.
+
+    The offers are computed once here; the actions read them many times.
+    """
+    return cooling.plan(materialise(decisions.with_reroute(case_table(t), t.centre), "rerouted"))
 
 
 def decided(t: Tables) -> DataFrame:
@@ -212,9 +215,7 @@ def decided(t: Tables) -> DataFrame:
 
 
 def decision_table(t: Tables) -> DataFrame:
-    """Decision records computed once; numbering and the alerts read them again."""
-    executed = materialise(decisions.execute(decided(t)), "executed")
-    return decisions.records(executed)
+    return decisions.records(decisions.execute(decided(t)))
 
 
 def alert_table(t: Tables) -> DataFrame:

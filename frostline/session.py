@@ -32,6 +32,11 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def partitions(spark: SparkSession) -> int:
+    """Partitions the session uses for a shuffle."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 # Private folders of local sessions without a named one, by application.
 _local_folders: dict[str, str] = {}
 

@@ -122,43 +122,58 @@ def timestamp(doc: str | Column = "doc") -> Column:
     return F.try_to_timestamp(field(doc, TIME_FIELDS))
 
 
+def _texts(df: DataFrame, doc: str, fields: dict[str, Sequence[str]], prefix: str = "_") -> DataFrame:
+    """The raw text of each field as a column of its own, so it is looked up once."""
+    return df.withColumns({f"{prefix}{name}": field(doc, names) for name, names in fields.items()})
+
+
+def _asset(df: DataFrame) -> Column:
+    known = [F.col("asset_id")] if "asset_id" in df.columns else []
+    return text_or(F.coalesce(*known, F.col("_asset")), UNKNOWN_ASSET).alias("asset_id")
+
+
 def normalise_telemetry(df: DataFrame, doc: str = "doc") -> DataFrame:
     """One column per canonical field, with aliases, defaults and lower-case names."""
-    exposure = F.from_json(field(doc, ("cumulativeexposure", "cumulative_exposure")), OBJECT)
-    keep = [c for c in df.columns if c != doc]
-    raw = df.withColumn("_exposure", exposure)
+    raw = _texts(df, doc, {
+        **TELEMETRY_FIELDS, "asset": ASSET_FIELDS, "time": TIME_FIELDS, "door": ("dooropen", "door_open"),
+        "cargo": ("cargotype", "cargo_type"), "scenario": ("scenario",), "failed": ("refrigerationfailed", "refrigeration_failed"),
+        "proxy": ("riskproxy", "risk_proxy", "telemetryriskproxy"), "exposure": ("cumulativeexposure", "cumulative_exposure"),
+    })
+    raw = _texts(raw.withColumn("_exposure", F.from_json("_exposure", OBJECT)), "_exposure", EXPOSURE_FIELDS, "_e_")
     return raw.select(
-        *[c for c in keep if c != "asset_id"],
-        text_or(F.coalesce(*([F.col("asset_id")] if "asset_id" in keep else []), field(doc, ASSET_FIELDS)), UNKNOWN_ASSET).alias("asset_id"),
-        timestamp(doc).alias("ts"),
-        *[number(field(doc, names)).alias(name) for name, names in TELEMETRY_FIELDS.items()],
-        truth(field(doc, ("dooropen", "door_open"))).alias("door_open"),
-        F.lower(text_or(field(doc, ("cargotype", "cargo_type")), "unknown")).alias("cargo_type"),
-        F.lower(text_or(F.col(doc)["scenario"], "unknown")).alias("scenario"),
-        truth(field(doc, ("refrigerationfailed", "refrigeration_failed"))).alias("refrigeration_failed"),
-        unit(number(field(doc, ("riskproxy", "risk_proxy", "telemetryriskproxy")))).alias("risk_proxy"),
-        F.struct(
-            *[number(field("_exposure", names)).alias(name) for name, names in EXPOSURE_FIELDS.items()]
-        ).alias("cumulative_exposure"),
+        *[c for c in df.columns if c not in (doc, "asset_id")],
+        _asset(df),
+        F.try_to_timestamp("_time").alias("ts"),
+        *[number(f"_{name}").alias(name) for name in TELEMETRY_FIELDS],
+        truth("_door").alias("door_open"),
+        F.lower(text_or("_cargo", "unknown")).alias("cargo_type"),
+        F.lower(text_or("_scenario", "unknown")).alias("scenario"),
+        truth("_failed").alias("refrigeration_failed"),
+        unit(number("_proxy")).alias("risk_proxy"),
+        F.struct(*[number(f"_e_{name}").alias(name) for name in EXPOSURE_FIELDS]).alias("cumulative_exposure"),
     )
 
 
 def normalise_prediction(df: DataFrame, doc: str = "doc") -> DataFrame:
     """Predicted and actual risk, the one that counts, confidence and hours to failure."""
-    predicted = unit(number(field(doc, PREDICTED_FIELDS)))
-    actual = unit(number(field(doc, ACTUAL_FIELDS)))
-    hours = number(field(doc, FAILURE_FIELDS), default=-1.0)
-    keep = [c for c in df.columns if c not in (doc, "asset_id")]
-    return df.select(
-        *keep,
-        text_or(F.coalesce(*([F.col("asset_id")] if "asset_id" in df.columns else []), field(doc, ASSET_FIELDS)), UNKNOWN_ASSET).alias("asset_id"),
-        timestamp(doc).alias("ts"),
-        predicted.alias("predicted_risk_proxy"),
-        actual.alias("actual_risk_proxy"),
+    raw = _texts(df, doc, {
+        "asset": ASSET_FIELDS, "time": TIME_FIELDS, "predicted": PREDICTED_FIELDS, "actual": ACTUAL_FIELDS,
+        "confidence": ("confidence", "predictionconfidence"), "hours": FAILURE_FIELDS,
+    })
+    raw = raw.withColumns({
+        "predicted_risk_proxy": unit(number("_predicted")), "actual_risk_proxy": unit(number("_actual")), "_hours": number("_hours", -1.0),
+    })
+    predicted, actual = F.col("predicted_risk_proxy"), F.col("actual_risk_proxy")
+    return raw.select(
+        *[c for c in df.columns if c not in (doc, "asset_id")],
+        _asset(df),
+        F.try_to_timestamp("_time").alias("ts"),
+        predicted,
+        actual,
         F.when(predicted > 0, predicted).otherwise(actual).alias("risk_score"),
-        unit(number(field(doc, ("confidence", "predictionconfidence")))).alias("confidence"),
-        # No reading at all and an unreadable one both mean unknown.
-        F.when(hours >= 0, hours).alias("time_to_failure_hours"),
+        unit(number("_confidence")).alias("confidence"),
+        # No value at all and an unreadable one both mean unknown.
+        F.when(F.col("_hours") >= 0, F.col("_hours")).alias("time_to_failure_hours"),
     )
 
 
