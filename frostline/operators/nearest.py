@@ -200,6 +200,7 @@ def nearest_centres(
     candidates = (
         reach.join(at_level, ["_cargo", "_cell"]).filter(_outside_squared() <= F.col("_bound") * F.col("_bound"))
         .select("_cargo", "_own", "centre", "centre__px", "centre__py", "centre__pz")
+        .repartition(partitions(places.sparkSession), "_cargo", "_own")
     )
 
     found = (
