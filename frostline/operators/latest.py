@@ -40,6 +40,11 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def sample(df: DataFrame, n: int = 3) -> DataFrame:
+    """A few rows to look at; stops as soon as it has them."""
+    return df.limit(n)
+
+
 def search(df: DataFrame, text: str, columns: Sequence[str]) -> DataFrame:
     """Case-insensitive substring match on any of the columns; blank text keeps all rows."""
     if not text.strip():
