@@ -219,7 +219,9 @@ def decision_table(t: Tables) -> DataFrame:
 
 
 def alert_table(t: Tables) -> DataFrame:
-    return decisions.alert_records(decision_table(t))
+    """Alerts of all decisions; numbering reads the decisions twice, so they are written first."""
+    needed = decision_table(t).select("ts", "decision_no", "decision_id", "notification", "escalation")
+    return decisions.alert_records(materialise(needed, "decided"))
 
 
 @query(
