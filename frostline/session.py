@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,33 +36,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-# Private folders of local sessions without a named one, by application.
-_local_folders: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
-    A private temporary folder is made only in local mode, where driver and
-    executors are one process on one machine.
+    Where no checkpoint folder is named, the warehouse holds it: driver and
+    executors share that too.
     """
-    named = spark.conf.get(CHECKPOINT_DIR, None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{CHECKPOINT_DIR} must name a folder all executors can reach")
-    return _local_folders.setdefault(spark.sparkContext.applicationId, "") or _new_local_folder(spark)
-
-
-def _new_local_folder(spark: SparkSession) -> str:
-    folder = tempfile.mkdtemp(prefix="frostline-")
-    _local_folders[spark.sparkContext.applicationId] = folder
-    return folder
+    named = spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get("spark.sql.warehouse.dir")
+    return named.rstrip("/")
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path that no other run uses, in a folder removed when the session ends."""
+    folder = f"{shared_folder(spark)}/work-{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
