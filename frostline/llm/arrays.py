@@ -17,8 +17,11 @@ _VALUES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uin
 _FOLDED = _VALUES.copy()
 _FOLDED[65:91] = _VALUES[97:123]
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes of words that end at white space, and of words that are letters only (with all of UTF-8 beyond ASCII).
+SOLID = np.ones(256, dtype=bool)
+SOLID[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 
 _powers = np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
 
@@ -77,12 +80,12 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start] + (end - start).astype(np.uint64))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and each text's first word; words end at white space and texts."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, of: np.ndarray = SOLID) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every run of the bytes ``of``, and each text's first; texts end words."""
     if not len(data):
         empty = np.zeros(0, np.int64)
         return empty, empty, np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = of[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.zeros(len(data), bool)
@@ -94,9 +97,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, np.searchsorted(start, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, fold: bool = True, of: np.ndarray = SOLID,
+) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word (A-Z lower-cased if fold), and each text's first word."""
-    start, end, first = word_spans(data, offsets)
+    start, end, first = word_spans(data, offsets, of)
     return span_hash(prefix_hash(data, fold), start, end), first
 
 
@@ -128,3 +133,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> list[n
         else:
             sets.append(words[:0])
     return sets
+
+
+def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of each text's values, which start at ``first`` and end where the next text's start."""
+    total = np.zeros(len(values) + 1)
+    np.cumsum(values, out=total[1:])
+    return total[first[1:]] - total[first[:-1]]
