@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, quality, toxicity, urls
+from . import chat, exact, near, packing, quality, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +42,15 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, folder, "documents"))
 
 
+#: The tokenizer's file; it must be at this place on every machine.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op2_packing")
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"), TOKENIZER)
+
+
 @query("op3_toxicity")
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -79,6 +89,30 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.format_turns(chat.canonical_turns(records)))
 
 
+_NEAR = r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[ 	-
+]+'), lambda x: x <> '') as v from documents
+), s as (
+  select doc_id, list_distinct(case when len(v) = 0 then []::varchar[] when len(v) < 5 then [array_to_string(v, ' ')]
+    else list_transform(range(1, len(v) - 3), lambda i: array_to_string(v[i:i + 4], ' ')) end) as sh from w
+), e as (select doc_id, len(sh) as n, unnest(sh) as x from s
+), p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as k, any_value(a.n) as na, any_value(b.n) as nb
+  from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by all having 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+), l as (select a, b from p union select b, a from p
+), r as (select doc_id, doc_id as c from s union select r.doc_id, l.b from r join l on l.a = r.c
+), m as (select doc_id, min(c) as c from r group by doc_id)
+select s.doc_id, len(s.sh) as n_shingles, m.c as component_id, s.doc_id = m.c as kept from s join m using (doc_id)
+"""
+
+
+@query("op8_minhash_dedup", _NEAR)
+def op8_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op9_quality")
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
