@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, near, packing, quality, toxicity, urls
+from . import chat, exact, near, packing, quality, suffixes, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -116,3 +116,8 @@ def op8_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_quality")
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op10_repeated_strings")
+def op10_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, folder, "documents"))
