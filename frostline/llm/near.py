@@ -226,3 +226,9 @@ def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id
     return out.select(
         F.col("_key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_key").eqNullSafe(component).alias("kept"),
     )
+
+
+def without_near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 85) -> DataFrame:
+    """The documents that are the smallest of their component; all columns, rows with a null key stay."""
+    gone = near_duplicates(documents, text, key, size, percent).where(~F.col("kept")).select(F.col(key).alias("_gone")).distinct()
+    return documents.join(gone, F.col(key) == F.col("_gone"), "left_anti")

@@ -291,6 +291,20 @@ def scored(documents: DataFrame, model: Model, text: str = "text", key: str = "d
     return rows.select(F.col("_key").alias(key), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def without_toxic(documents: DataFrame, labels: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The documents that score below the threshold; all columns and their order, without a shuffle."""
+    send = documents.sparkSession.sparkContext.broadcast(train(documents, labels, text=text))
+    column = documents.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(send.value.letters)
+        for batch in batches:
+            for a, b, data, offsets in arrays.chunks(batch.column(column)):
+                yield batch.slice(a, b - a).filter(pa.array(send.value.scores(*restorer.texts(data, offsets)) < threshold))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def toxicity(documents: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
     """doc_id, held_out, score and predicted for every document.
 
