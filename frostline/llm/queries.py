@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact, near, packing, quality, suffixes, toxicity, urls
+from . import chat, decontamination, exact, near, packing, passages, quality, suffixes, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,6 +94,11 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.format_turns(chat.canonical_turns(records)))
 
 
+@query("op7_repeated_passages")
+def op7_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, folder, "documents"))
+
+
 _NEAR = r"""
 with recursive w as (
   select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
