@@ -13,8 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Each mask selects five tokens.
-MASKS = ("11111", "1101011", "110010101")
+#: Each mask selects five tokens. However two of thirteen tokens are substituted, one of the masks fits between them;
+#: the same holds for one of seven to nine and two of eleven or twelve.
+MASKS = ("11111", "111011", "101111")
 #: Words of an overlap, and the share of them that must be equal.
 OVERLAP, SHARE = 13, 0.8
 #: Most benchmark seeds that are sent to every task at once; more are taken in blocks.
@@ -91,7 +92,8 @@ def contaminated(
     A stretch is ``OVERLAP`` consecutive words of the item (all of a shorter one) of which a document has at least ``SHARE``
     at the same distances, hit by a seed. ``matched`` is the most equal words in one stretch, first_word and end_word bound all stretches.
 
-    Null and empty texts and items of fewer than five words match nothing; an item of up to eight words is found only by the masks that fit it.
+    Null and empty texts and items of fewer than five words match nothing; a substituted word in an item of
+    five or six words, or two in one of ten, may hide it from all masks.
     Rows without a key are left out; rows of one key count together. Repeated items and other columns do not matter; empty tables give an empty result.
 
     The benchmark goes to every task in blocks of at most ``MOST_SEEDS`` seeds, each a pass over the documents;

@@ -102,6 +102,8 @@ def _features(texts: DataFrame) -> DataFrame:
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
     """Vectors and softmax layer from (label, buckets, counts), by stochastic gradient descent."""
+    if not rows:
+        return Model(np.zeros(1 << BITS, np.float32), 0.0)
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (1 << BITS, WIDTH)).astype(np.float32)
     layer, bias = rng.normal(0, 0.1, (2, WIDTH)), np.zeros(2)

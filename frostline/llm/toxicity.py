@@ -57,9 +57,10 @@ def trigram_counts(documents: DataFrame, text: str = "text") -> np.ndarray:
         counts = np.zeros(CLASSES**3, np.int64)
         for batch in batches:
             for _, _, data, offsets in arrays.chunks(batch.column(0)):
-                # Each text starts after two spaces.
-                padded = np.zeros(len(data) + 2 * (len(offsets) - 1), np.int32)
+                # Two spaces stand before each text and after the last.
+                padded = np.zeros(len(data) + 2 * len(offsets), np.int32)
                 places = np.ones(len(padded), bool)
+                places[-2:] = False
                 heads = offsets[:-1] + 2 * np.arange(len(offsets) - 1)
                 places[heads] = places[heads + 1] = False
                 padded[places] = _CLASS[data]
@@ -125,24 +126,26 @@ def restore(word: str, model: np.ndarray) -> str:
 def disguised(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Places in words that may be disguised: signs among letters, three equal letters, letters spaced out."""
     n = len(data)
-    if n < 3:
-        return np.zeros(0, np.int64)
-    letter = _ASCII[data]
-    found = np.zeros(n, bool)
-    found[:-1] = (_LEAD[data[:-1]] & letter[1:]) | (letter[:-1] & _DIGIT[data[1:]])
+    if n < 7:
+        padded = np.concatenate([data, np.zeros(7 - n, np.uint8)])
+        return disguised(padded, offsets) if n else np.zeros(0, np.int64)
+    letter, mark, token, dollar = _ASCII[data], _MARK[data], _TOKEN[data], data == ord("$")
     lower = data | np.uint8(32)
-    found[:-2] |= letter[:-2] & (lower[:-2] == lower[1:-1]) & (lower[1:-1] == lower[2:])
-    mark = _MARK[data]
-    token = _TOKEN[data]
     single = mark.copy()
     single[1:] &= ~token[:-1]
     single[:-1] &= ~token[1:]
-    if n > 6:
-        found[:-6] |= single[:-6] & single[2:-4] & single[4:-2] & single[6:]
-    place = np.flatnonzero(found)
-    # A place in one text and its neighbour in the next are no word.
-    text = np.searchsorted(offsets, place, side="right")
-    return place[np.minimum(place + 1, n - 1) < offsets[text]]
+    signs = [
+        (1, (_LEAD[data[:-1]] & letter[1:]) | (letter[:-1] & _DIGIT[data[1:]])),
+        (1, letter[:-3] & dollar[1:-2] & ~(dollar[2:-1] & dollar[3:])),
+        (2, letter[:-2] & (lower[:-2] == lower[1:-1]) & (lower[1:-1] == lower[2:])),
+        (6, single[:-6] & single[2:-4] & single[4:-2] & single[6:]),
+    ]
+    places = []
+    for reach, found in signs:
+        place = np.flatnonzero(found)
+        # A place in one text and its neighbours in the next are no word.
+        places.append(place[place + reach < offsets[np.searchsorted(offsets, place, side="right")]])
+    return np.unique(np.concatenate(places))
 
 
 def _span(text: bytes, at: int) -> tuple[int, int]:
@@ -157,9 +160,12 @@ def _span(text: bytes, at: int) -> tuple[int, int]:
             b += 2
         while a > 1 and _SEPARATOR[text[a - 1]] and _MARK[text[a - 2]] and (a == 2 or not _TOKEN[text[a - 3]]):
             a -= 2
-    # Signs at the ends are punctuation, but for one before a letter.
+    # Signs at the ends are punctuation, but for one before a letter and up to two dollars after one.
+    end = b
     while b > a and _LEAD[text[b - 1]] and not _DIGIT[text[b - 1]]:
         b -= 1
+    if end - b <= 2 and text[b:end] == b"$" * (end - b):
+        b = end
     while a + 1 < b and _LEAD[text[a]] and not _ASCII[text[a + 1]] and not _DIGIT[text[a]]:
         a += 1
     return a, b
