@@ -9,7 +9,7 @@ from ..functions.numeric import plain
 from ..functions.text import kept
 from ..functions.values import blank_to_null, truth
 from . import alerts, cooling, routing
-from .running import running
+from .running import numbered_rows
 
 # Texts of the actions.
 MONITOR_TEXT = "Continue normal monitoring"
@@ -178,26 +178,12 @@ def numbered(prefix: str, position: Column) -> Column:
     return F.concat(F.lit(prefix), F.when(F.length(digits) < 6, F.lpad(digits, 6, "0")).otherwise(digits))
 
 
-def number_all(df: DataFrame, order: list[str], name: str = "number", width: str = "minute") -> DataFrame:
-    """Number all rows from 1 in time order without sorting them in one task.
-
-    Rows are numbered inside each minute; only the row counts of the minutes
-    are summed up in sequence.
-    """
-    whole = df.withColumn("_all", F.lit(1))
-    return running(whole, "_all", order, {name: F.lit(1)}, chunk=F.date_trunc(width, order[0])).drop("_all")
-
-
-def number_per_asset(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
-    return running(df, "asset_id", order, {name: F.lit(1)})
-
-
 DECISION_ORDER = ["matched_ts", "asset_id", "prediction_id"]
 
 
 def records(executed: DataFrame) -> DataFrame:
     """Decision records in the order the cases became complete."""
-    rows = number_all(executed, DECISION_ORDER, "decision_no")
+    rows = numbered_rows(executed, DECISION_ORDER, "decision_no")
     return rows.select(
         "decision_no",
         numbered("DECISION_", F.col("decision_no")).alias("decision_id"),
@@ -232,7 +218,6 @@ def alert_records(decisions: DataFrame) -> DataFrame:
     sent = decisions.select(
         "ts", "decision_no", "decision_id", F.posexplode(kept([F.col("notification"), F.col("escalation")])).alias("place", "alert")
     )
-    numbered_rows = number_all(sent, ["ts", "decision_no", "place"], "alert_no")
-    return numbered_rows.select(
+    return numbered_rows(sent, ["ts", "decision_no", "place"], "alert_no").select(
         "alert_no", numbered("ALERT_", F.col("alert_no")).alias("alert_id"), "ts", "decision_id", "alert.*"
     )

@@ -6,7 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from .running import running
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -67,19 +68,7 @@ def at_reading(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, ["asset_id", "ts"])
 
 
-def changed(df: DataFrame, key: str, value: str, order: Sequence[str], chunk: Column) -> DataFrame:
-    """Drop rows whose value equals the value of the row before it for the same key.
-
-    The row before the first of a chunk is the last row of the chunk before;
-    only that one row per chunk is looked up across chunks.
-    """
-    marked = df.withColumn("_chunk", chunk)
-    ends = marked.groupBy(key, "_chunk").agg(F.max_by(value, F.struct(*order)).alias("_end"))
-    before = F.lag("_end").over(W.partitionBy(key).orderBy("_chunk")).alias("_before")
-    inside = W.partitionBy(key, "_chunk").orderBy(*order)
-    return (
-        marked.join(ends.select(key, "_chunk", before), [key, "_chunk"])
-        .withColumn("_previous", F.coalesce(F.lag(value).over(inside), F.col("_before")))
-        .filter(F.col("_previous").isNull() | (F.col(value) != F.col("_previous")))
-        .select(*df.columns)
-    )
+def changed(df: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
+    """Drop rows whose value equals the value of the row before it for the same key."""
+    seen = running(df, key, order, {}, {"_previous": value})
+    return seen.filter(F.col("_previous").isNull() | (F.col(value) != F.col("_previous"))).select(*df.columns)

@@ -22,15 +22,18 @@ from pyspark.sql import Window as W
 
 from ..functions.numeric import EARTH_RADIUS_KM, haversine_km, round_to
 from ..functions.values import as_column, lower_name
-from ..session import materialise, partitions
+from ..session import materialise
 
 LEVELS = 10
+# Cells of the coarsest level; wider where the radius is, so that a block of 27 always reaches it.
 COARSE_KM = 400.0
-FINE_KM = COARSE_KM / 2**LEVELS
 BITS = 15
 RADIUS_KM = 350.0
 SPEED_KMPH = 45.0
 
+# Spots of a cell that one task compares.
+CROWD = 20_000
+
 # Distances are ranked in hundredths of a km; twice that step covers equal ranks.
 ROUNDING_KM = 0.02
 
@@ -68,9 +71,14 @@ def _position(lat: str, lon: str) -> dict[str, Column]:
     return {"_px": r * F.cos(la) * F.cos(lo), "_py": r * F.cos(la) * F.sin(lo), "_pz": r * F.sin(la)}
 
 
-def _fine_cell() -> dict[str, Column]:
+def coarse_km(radius_km: float) -> float:
+    """Cell width of the coarsest level for a radius."""
+    return COARSE_KM * 2 ** max(0, math.ceil(math.log2(max(radius_km, 1.0) / COARSE_KM)))
+
+
+def _fine_cell(coarse: float) -> dict[str, Column]:
     return {
-        cell: F.floor((F.col(point) + 6400.0) / FINE_KM).cast("bigint")
+        cell: F.floor((F.col(point) + 6400.0) / (coarse / 2**LEVELS)).cast("bigint")
         for cell, point in (("_x", "_px"), ("_y", "_py"), ("_z", "_pz"))
     }
 
@@ -103,7 +111,7 @@ def _levels() -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
 
 
-def _centre_points(centres: DataFrame, k: int) -> DataFrame:
+def _centre_points(centres: DataFrame, k: int, coarse: float) -> DataFrame:
     """Centres per cargo type with their finest cell.
 
     Of centres at one point only the best k can be among the k nearest of
@@ -118,12 +126,12 @@ def _centre_points(centres: DataFrame, k: int) -> DataFrame:
     )
     return (
         per_cargo.withColumn("_n", F.row_number().over(same_point)).filter(F.col("_n") <= k)
-        .withColumns(_position("lat", "lon")).withColumns(_fine_cell())
+        .withColumns(_position("lat", "lon")).withColumns(_fine_cell(coarse))
         .select("_cargo", "centre", "_px", "_py", "_pz", "_x", "_y", "_z")
     )
 
 
-def _search_cells(cells: DataFrame, points: DataFrame, k: int) -> DataFrame:
+def _search_cells(cells: DataFrame, points: DataFrame, k: int, coarse: float) -> DataFrame:
     """For each finest cell with readings, the cell that decides its candidates and how far those can be."""
     fine = points.groupBy("_cargo", "_x", "_y", "_z").agg(F.count("*").alias("_n"))
     by_level = fine.select("_cargo", "_x", "_y", "_z", "_n", _levels().alias("_level")).select(
@@ -141,7 +149,7 @@ def _search_cells(cells: DataFrame, points: DataFrame, k: int) -> DataFrame:
     )
     own = F.coalesce("_level", F.lit(0))
     above = F.greatest(own - 2, F.lit(0))
-    size = F.lit(COARSE_KM) / F.pow(F.lit(2.0), own)
+    size = F.lit(coarse) / F.pow(F.lit(2.0), own)
     # The diagonal of the block, and a little for distances that only differ after rounding.
     bound = F.when(F.col("_level").isNotNull(), F.lit(2 * math.sqrt(3.0)) * size + F.lit(ROUNDING_KM))
     return cells.join(finest, ["_cargo", "_x", "_y", "_z"], "left").select(
@@ -176,18 +184,23 @@ def nearest_centres(
     Order: distance in hundredths of a km, free capacity (most first), priority, id.
     Readings without a position and readings with no centre in reach have no rows.
     """
-    places = (
-        readings.filter(as_column(lat).isNotNull() & as_column(lon).isNotNull())
-        .select(*keys, as_column(lat).alias("_lat"), as_column(lon).alias("_lon"),
-                F.coalesce(lower_name(cargo), F.lit(ANY_CARGO)).alias("_cargo"))
-        .withColumns(_position("_lat", "_lon")).withColumns(_fine_cell())
+    coarse = coarse_km(radius_km)
+    spot = ["_cargo", "_lat", "_lon"]
+    readings_at = readings.filter(as_column(lat).isNotNull() & as_column(lon).isNotNull()).select(
+        *keys, as_column(lat).alias("_lat"), as_column(lon).alias("_lon"), F.coalesce(lower_name(cargo), F.lit(ANY_CARGO)).alias("_cargo")
     )
+    # Readings at one spot have the same answer: each spot is searched once, however many stand there.
+    places = materialise(readings_at.select(*spot).distinct().withColumns(_position("_lat", "_lon")).withColumns(_fine_cell(coarse)), "spots")
     cells = places.select("_cargo", "_x", "_y", "_z").distinct()
-    # Spread by reading: the joins multiply rows, and the ranking below finds them in place.
-    places = places.repartition(partitions(places.sparkSession), *keys)
     # Both tables are small next to the readings and read more than once below.
-    points = materialise(_centre_points(centres, k), "centre-points")
-    search = materialise(_search_cells(cells, points, k), "search-cells")
+    points = materialise(_centre_points(centres, k, coarse), "centre-points")
+    search = materialise(_search_cells(cells, points, k, coarse), "search-cells")
+    # A cell with very many spots is dealt to several tasks: the cell's rows are repeated for each.
+    crowd = places.groupBy("_cargo", "_x", "_y", "_z").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("_salts"))
+    search = search.join(crowd, ["_cargo", "_x", "_y", "_z"])
+    salted = search.select("*", F.explode(F.expr("sequence(0, _salts - 1)")).alias("_salt"))
+    most = search.groupBy("_cargo", "_own").agg(F.max("_salts").alias("_salts"))
+    places = places.join(crowd, ["_cargo", "_x", "_y", "_z"]).withColumn("_salt", F.pmod(F.xxhash64("_lat", "_lon"), F.col("_salts")).cast("int"))
 
     low = ["_low_x", "_low_y", "_low_z"]
     reach = search.select("_cargo", "_own", "_search", "_bound", "_size", *low).distinct().select(
@@ -200,24 +213,24 @@ def nearest_centres(
     candidates = (
         reach.join(at_level, ["_cargo", "_cell"]).filter(_outside_squared() <= F.col("_bound") * F.col("_bound"))
         .select("_cargo", "_own", "centre", "centre__px", "centre__py", "centre__pz")
-        .repartition(partitions(places.sparkSession), "_cargo", "_own")
+        .join(most, ["_cargo", "_own"]).withColumn("_salt", F.explode(F.expr("sequence(0, _salts - 1)"))).drop("_salts")
     )
 
     found = (
-        places.join(search.select("_cargo", "_x", "_y", "_z", "_own", "_bound"), ["_cargo", "_x", "_y", "_z"])
-        .join(candidates, ["_cargo", "_own"])
+        places.drop("_salts").join(salted.select("_cargo", "_x", "_y", "_z", "_salt", "_own", "_bound"), ["_cargo", "_x", "_y", "_z", "_salt"])
+        .join(candidates, ["_cargo", "_own", "_salt"])
         .filter(_chord_squared() <= F.col("_bound") * F.col("_bound"))
         .withColumn("_km", haversine_km("_lat", "_lon", "centre.lat", "centre.lon"))
         .filter(F.col("_km") <= radius_km)
         .withColumn("distance_km", round_to("_km", 2))
     )
-    best = W.partitionBy(*keys).orderBy(
+    best = W.partitionBy(*spot).orderBy(
         "distance_km", F.desc("centre.available_capacity"), "centre.priority_rank", "centre.id"
     )
-    return (
-        found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-        .select(*keys, "rank", "distance_km", "centre")
-    )
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    answers = ranked.groupBy(*spot).agg(F.sort_array(F.collect_list(F.struct("rank", "distance_km", "centre"))).alias("_best"))
+    # A spot with a third of the readings is one row on the right; Spark splits the left side of such a join.
+    return readings_at.join(answers, spot).select(*keys, F.explode("_best").alias("_b")).select(*keys, "_b.rank", "_b.distance_km", "_b.centre")
 
 
 def eta_hours(distance_km, speed_kmph=SPEED_KMPH) -> Column:

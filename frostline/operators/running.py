@@ -1,10 +1,10 @@
 """Running totals and positions per key that survive very large keys.
 
 A window over ``asset_id`` alone puts all rows of one asset in one task. Here
-the rows of an asset are cut into time chunks. One aggregate gives the totals
-of every chunk (pre-aggregated before its shuffle), a window over those few
-totals gives what each chunk starts from, and the row-level window runs inside
-the chunk only.
+rows are dealt by sampled ranges of key and order, so a key with very many rows, or very many of
+one day, is spread over several tasks. One aggregate gives the totals of every key and range
+(pre-aggregated before its shuffle), a window over those few totals gives what
+each range starts from, and the row-level window runs inside a key's range only.
 """
 
 from __future__ import annotations
@@ -15,11 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-CHUNK = "day"
+from ..session import materialise, partitions
 
+def ranged(df: DataFrame, *order: str) -> DataFrame:
+    """The rows with ``_chunk``, the number of their sampled range; written once, so that a row keeps its range.
 
-def time_chunk(ts: str | Column = "ts", width: str = CHUNK) -> Column:
-    return F.date_trunc(width, ts)
+    Ranges follow the order, equal rows share one, and nulls come first.
+    """
+    dealt = df.repartitionByRange(partitions(df.sparkSession), *order).withColumn("_chunk", F.spark_partition_id())
+    return materialise(dealt, "ranged")
 
 
 def running(
@@ -34,16 +38,16 @@ def running(
 
     ``sums`` should be integers, so the totals do not depend on how rows were
     grouped. ``previous`` maps a new column to the column it looks back at.
-    Rows without a key have no place in any sequence and are left out.
+    Rows without a key have no place in any sequence and are left out; rows
+    without a time come first. ``chunk`` gives ranges of your own, in order.
     """
     previous = dict(previous or {})
-    marked = df.filter(F.col(key).isNotNull()).withColumn(
-        "_chunk", chunk if chunk is not None else time_chunk(order[0])
-    )
+    known = df.filter(F.col(key).isNotNull())
+    marked = ranged(known, key, *order) if chunk is None else known.withColumn("_chunk", chunk)
     last = F.struct(*order)
     totals = marked.groupBy(key, "_chunk").agg(
         *[F.sum(expr).alias(f"_total_{name}") for name, expr in sums.items()],
-        *[F.max_by(col, last).alias(f"_last_{name}") for name, col in previous.items()],
+        *[F.max_by(F.struct(col), last).alias(f"_last_{name}") for name, col in previous.items()],
     )
     over_chunks = W.partitionBy(key).orderBy("_chunk")
     earlier = over_chunks.rowsBetween(W.unboundedPreceding, -1)
@@ -58,12 +62,29 @@ def running(
     out = marked.join(starts, [key, "_chunk"]).withColumns(
         {
             **{n: F.sum(expr).over(so_far) + F.col(f"_start_{n}") for n, expr in sums.items()},
-            **{n: F.coalesce(F.lag(col).over(in_chunk), F.col(f"_before_{n}")) for n, col in previous.items()},
+            **{n: F.coalesce(F.lag(F.struct(col)).over(in_chunk), F.col(f"_before_{n}"))[col] for n, col in previous.items()},
         }
     )
     return out.select(*df.columns, *sums, *previous)
 
 
+def numbered_rows(df: DataFrame, order: Sequence[str], name: str = "number") -> DataFrame:
+    """Number all rows from 1 in order, whatever their key, without sorting them in one task.
+
+    Rows are numbered inside each sampled range; the ranges' sizes, as many numbers as
+    the session has partitions, are summed up by the driver.
+    """
+    rows = ranged(df, *order)
+    sizes = {r["_chunk"]: r["n"] for r in rows.groupBy("_chunk").agg(F.count("*").alias("n")).collect()}
+    before, starts = 0, []
+    for chunk in range(max(sizes, default=0) + 1):
+        starts.append(before)
+        before += sizes.get(chunk, 0)
+    inside = F.row_number().over(W.partitionBy("_chunk").orderBy(*order))
+    start = F.element_at(F.array(*[F.lit(n).cast("bigint") for n in starts]), F.col("_chunk") + 1)
+    return rows.withColumn(name, inside + start).select(*df.columns, name)
+
+
 def positions(df: DataFrame, key: str, order: Sequence[str], name: str = "position") -> DataFrame:
     """Number the rows of each key from 1 in order."""
     return running(df, key, order, {name: F.lit(1)})

@@ -153,7 +153,7 @@ def fleet_size(t: Tables) -> DataFrame:
 def changed_events(t: Tables) -> DataFrame:
     """Readings whose door state differs from the reading before."""
     picked = t.telemetry.select("asset_id", "event_id", "ts", "door_open")
-    return latest.changed(picked, "asset_id", "door_open", ORDER, F.date_trunc("day", "ts"))
+    return latest.changed(picked, "asset_id", "door_open", ORDER)
 
 
 @query(

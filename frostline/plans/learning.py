@@ -230,11 +230,13 @@ def csv_roundtrip(t: Tables) -> DataFrame:
 
 @query(
     "incremental_read",
-    "select asset_id, event_id, ts, temperature, risk_proxy from telemetry where ts > timestamp '2024-01-10' order by ts, event_id limit 15000",
+    """select asset_id, event_id, ts, temperature, risk_proxy, (row_number() over (order by ts, event_id) - 1) // 15000 as batch
+    from telemetry where ts > timestamp '2024-01-10'""",
 )
 def incremental_read(t: Tables) -> DataFrame:
-    """The next batch of readings after a time, at most 15,000."""
-    return stored.read_since(t.telemetry, "2024-01-10", ["asset_id", "event_id", "ts", "temperature", "risk_proxy"], ties=["event_id"])
+    """All readings after a time with the batch of at most 15,000 that they are read in."""
+    newer = stored.read_since(t.telemetry, "2024-01-10", ["asset_id", "event_id", "ts", "temperature", "risk_proxy"])
+    return stored.in_batches(newer, ties=["event_id"])
 
 
 @query(

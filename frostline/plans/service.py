@@ -121,7 +121,7 @@ def fleet_snapshot(t: Tables) -> DataFrame:
 def dedupe_predictions(t: Tables) -> DataFrame:
     """Predictions published twice, processed once per asset and timestamp."""
     sent = t.prediction.select("asset_id", "ts", "prediction_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
-    return latest.changed(sent, "asset_id", "ts", ["ts", "prediction_id", "copy"], F.date_trunc("day", "ts")).drop("copy")
+    return latest.changed(sent, "asset_id", "ts", ["ts", "prediction_id", "copy"]).drop("copy")
 
 
 @query(

@@ -31,10 +31,10 @@ def skewed_rows(n, seed=1, span=86400 * 4):
 def test_running_sums_and_previous_values_across_chunks(spark):
     rows = skewed_rows(900)
     df = spark.createDataFrame(rows, "asset_id string, event_id bigint, ts timestamp, temperature double, door_open boolean")
-    for width in ("hour", "day", "year"):
+    for chunk in (None, F.date_trunc("hour", "ts"), F.date_trunc("year", "ts")):
         got = running.running(
             df, "asset_id", ("ts", "event_id"), {"n": F.lit(1), "s": F.round(F.col("temperature") * 10).cast("bigint")},
-            {"was": "door_open"}, F.date_trunc(width, "ts"),
+            {"was": "door_open"}, chunk,
         ).collect()
         assert len(got) == len(rows)
         by_id = {r["event_id"]: r for r in got}
@@ -47,6 +47,32 @@ def test_running_sums_and_previous_values_across_chunks(spark):
                 before = r[4]
 
 
+def test_a_key_with_most_rows_of_one_day_is_spread(spark):
+    rows = [("HOT" if i % 10 else f"T{i}", i, at(i // 50) if i % 97 else None, i % 7 == 0) for i in range(4000)]
+    df = spark.createDataFrame(rows, "asset_id string, event_id bigint, ts timestamp, door_open boolean").repartition(6)
+    dealt = running.ranged(df, "asset_id", "ts", "event_id").groupBy("_chunk").count().collect()
+    assert max(r["count"] for r in dealt) < 0.6 * len(rows)
+    got = {r["event_id"]: (r["n"], r["was"]) for r in running.running(df, "asset_id", ("ts", "event_id"), {"n": F.lit(1)}, {"was": "door_open"}).collect()}
+    numbers = {r["event_id"]: r["number"] for r in running.numbered_rows(df, ["ts", "event_id"]).collect()}
+    time = lambda r: (r[2] is not None, r[2] or START, r[1])
+    assert numbers == {r[1]: i for i, r in enumerate(sorted(rows, key=time), 1)}
+    seen = {}
+    for asset, ident, _, is_open in sorted(rows, key=time):
+        n, before = seen.get(asset, (0, None))
+        assert got[ident] == (n + 1, before)
+        seen[asset] = n + 1, is_open
+
+
+@pytest.mark.parametrize("radius", [600.0, 1500.0])
+def test_nearest_centres_at_any_radius(spark, radius):
+    rng = random.Random(radius)
+    centres = [(f"C{i}", "n", rng.uniform(10, 35), rng.uniform(65, 90), 10, 0, "operational", ["meat"], 1) for i in range(8)]
+    readings = [("A", i, rng.uniform(10, 35), rng.uniform(65, 90), "meat") for i in range(30)] + [("A", 100 + i, 20.0, 70.0, "meat") for i in range(60)]
+    df = spark.createDataFrame(readings, "asset_id string, event_id bigint, gps_lat double, gps_lon double, cargo_type string")
+    got = nearest.nearest_centres(df, nearest.eligible(spark.createDataFrame(centres, profiles.CENTRE_SCHEMA)), ["event_id"], 3, radius).collect()
+    assert {(r["event_id"], r["rank"]): r["centre"]["id"] for r in got} == nearest_by_hand(readings, centres, 3, radius)
+
+
 def cache_simulation(predictions, readings, age, wait):
     """What a service with a cache per asset does, one message after another."""
     out = {}
@@ -193,7 +219,7 @@ def test_route_follower(spark):
 def test_numbering_all_rows(spark):
     rows = skewed_rows(400, seed=9, span=3000)
     df = spark.createDataFrame(rows, "asset_id string, event_id bigint, ts timestamp, temperature double, door_open boolean")
-    got = {r["event_id"]: r["number"] for r in decisions.number_all(df, ["ts", "asset_id", "event_id"]).collect()}
+    got = {r["event_id"]: r["number"] for r in running.numbered_rows(df, ["ts", "asset_id", "event_id"]).collect()}
     expected = {r[1]: i for i, r in enumerate(sorted(rows, key=lambda r: (r[2], r[0], r[1])), 1)}
     assert got == expected
     long = spark.createDataFrame([(1,), (1234567,)], "n bigint").select(decisions.numbered("ALERT_", F.col("n"))).collect()
@@ -276,7 +302,7 @@ def test_latest_and_changed(spark):
     rows = skewed_rows(300, seed=2)
     df = spark.createDataFrame(rows, "asset_id string, event_id bigint, ts timestamp, temperature double, door_open boolean")
     newest = {r["asset_id"]: r["event_id"] for r in latest.latest_by(df, ["asset_id"], ["ts", "event_id"]).collect()}
-    kept = {r["event_id"] for r in latest.changed(df, "asset_id", "door_open", ["ts", "event_id"], F.date_trunc("hour", "ts")).collect()}
+    kept = {r["event_id"] for r in latest.changed(df, "asset_id", "door_open", ["ts", "event_id"]).collect()}
     expected = set()
     for asset in {r[0] for r in rows}:
         series = sorted((r for r in rows if r[0] == asset), key=lambda r: (r[2], r[1]))

@@ -127,11 +127,31 @@ def test_append_and_incremental_read_skip_old_days(spark, tmp_path):
     df = spark.createDataFrame(rows, "asset_id string, t string").select("asset_id", F.col("t").cast("timestamp").alias("ts"))
     tables.append_readings(df, str(tmp_path / "r"))
     stored = spark.read.parquet(str(tmp_path / "r"))
-    got = tables.read_since(stored, "2024-01-04 00:00:00", ["asset_id", "ts"], limit=4)
+    got = tables.read_batch(stored, ("2024-01-04 00:00:00",), ["asset_id", "ts"], limit=4, ties=["asset_id"])
     assert [str(r["ts"]) for r in got.collect()] == ["2024-01-04 00:00:01", "2024-01-04 00:00:02", "2024-01-05 00:00:00", "2024-01-05 00:00:01"]
     assert "PushedFilters: [IsNotNull(ts), GreaterThan(ts" in got._jdf.queryExecution().toString()
 
 
+def test_reading_batch_by_batch_gives_every_row_once(spark):
+    df = spark.createDataFrame([(i, f"2024-01-01 00:00:0{i // 5}") for i in range(23)], "event_id bigint, t string")
+    df = df.select("event_id", F.col("t").cast("timestamp").alias("ts"))
+    last, seen = None, []
+    while batch := tables.read_batch(df, last, ["ts", "event_id"], limit=3).collect():
+        assert len(batch) <= 3
+        seen += [r["event_id"] for r in batch]
+        last = (str(batch[-1]["ts"]), batch[-1]["event_id"])
+    assert seen == list(range(23))
+    numbered = {r["event_id"]: r["batch"] for r in tables.in_batches(df, ties=["event_id"], size=3).collect()}
+    assert numbered == {i: i // 3 for i in range(23)}
+
+
+def test_upserts_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    for n, rows in enumerate(([("a", 1), ("a", 2)], [("a", 2), ("a", 1)])):
+        table = tables.UpsertTable(spark, str(tmp_path / str(n)), ["k"])
+        table.write(spark.createDataFrame(rows, "k string, v int"), 0)
+        assert [tuple(r) for r in table.read().collect()] == [("a", 2)]
+
+
 def test_builtin_corpus_counts(spark):
     """Counts of the 32 built-in documents."""
     documents = guidance.merge(guidance.builtin_documents(spark))
