@@ -244,8 +244,7 @@ def found_documents(t: Tables, cases: DataFrame, texts: DataFrame) -> DataFrame:
     """Best documents for every distinct query signature of the cases."""
     asked = cases.select(retrieval.signature("retrieval_query").alias("query_id")).distinct().withColumn("text", F.col("query_id"))
     asked = materialise(asked, "signatures")
-    queries, rows = retrieval.text_vectors(asked, texts)
-    return retrieval.top_n(queries, rows, TOP_DOCUMENTS, metric="cosine")
+    return retrieval.text_top_n(asked, texts, TOP_DOCUMENTS)
 
 
 def corpus_texts(t: Tables) -> DataFrame:

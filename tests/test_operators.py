@@ -271,13 +271,13 @@ def test_features_of_unseen_and_missing_categories(spark):
     assert got[1] == [-2.0] + [0.0] * 13 + [0.0, 1.0, 1.0, 0.0]
 
 
-@pytest.mark.parametrize("most", [8_000_000, 40 * 3, 12 * 3])
-def test_top_n_by_any_path_equals_brute_force(spark, most):
+@pytest.mark.parametrize("block", [16 << 20, 1000, 300])
+def test_top_n_in_blocks_equals_brute_force(spark, block):
     rng = np.random.default_rng(2)
     corpus, queries = rng.integers(0, 4, (60, 3)).astype(float), rng.integers(0, 4, (30, 3)).astype(float)
     c = spark.createDataFrame([(f"d{i:02d}", v.tolist()) for i, v in enumerate(corpus)], "doc_id string, vector array<double>")
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id bigint, vector array<double>")
-    got = retrieval.top_n(q, c, 4, most_numbers=most).collect()
+    got = retrieval.top_n(q, c, 4, block_bytes=block).collect()
     for i, v in enumerate(queries):
         distance = ((corpus - v) ** 2).sum(axis=1)
         expected = sorted((round(float(d), 6), f"d{j:02d}") for j, d in enumerate(distance))[:4]
@@ -285,6 +285,26 @@ def test_top_n_by_any_path_equals_brute_force(spark, most):
         assert [(d, name) for _, d, name in mine] == expected
 
 
+def test_text_top_n_equals_dense_vectors(spark):
+    texts = ["cold truck door", "door open door", "fish 12 fish", "", "nothing shared here", "cold cold door truck truck"]
+    asked = {"q1": "door cold unknownword", "q2": "fish", "q3": "never seen"}
+    terms = sorted({w for t in texts for w in t.split() if w.isalpha()})
+    counts = np.array([[t.split().count(w) for w in terms] for t in texts], float)
+    idf = np.log((1 + len(texts)) / (1 + (counts > 0).sum(0))) + 1
+    found = retrieval.text_top_n(
+        spark.createDataFrame(list(asked.items()), "query_id string, text string"),
+        spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string"), 2,
+    ).collect()
+    expected = set()
+    for name, text in asked.items():
+        q, d = np.array([text.split().count(w) for w in terms]) * idf, counts * idf
+        with np.errstate(all="ignore"):
+            near = d @ q / np.linalg.norm(d, axis=1) / np.linalg.norm(q)
+        best = sorted((round(1 - x, 6), f"d{i}") for i, x in enumerate(near) if x > 0)[:2]
+        expected |= {(name, doc, distance, rank) for rank, (distance, doc) in enumerate(best, 1)}
+    assert {(r["query_id"], r["doc_id"], r["distance"], r["rank"]) for r in found} == expected
+
+
 def test_exposure_never_decreases_and_risk_stays_in_range(spark):
     rng = random.Random(8)
     rows = [("T1", i, at(i * 120), rng.choice(["vaccines", "meat", "rocks"]), rng.uniform(-30, 40), rng.uniform(0, 100), rng.uniform(0, 9), rng.random() < 0.4)
