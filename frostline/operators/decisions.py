@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import plain
+from ..functions.numeric import plain, round_to
 from ..functions.text import kept
 from ..functions.values import blank_to_null, truth
+from ..sources.messages import PREFIX
 from . import alerts, cooling, routing
+from .exposure import EXPOSURE_FIELDS
 from .running import numbered_rows
 
 # Texts of the actions.
@@ -199,6 +201,7 @@ def records(executed: DataFrame) -> DataFrame:
             "predicted_score", "telemetry_score", "risk_score", "risk_level", "contributing_factors", "time_to_failure_hours",
             "requires_action", "temperature_status", F.col("target_low").alias("min_c"), F.col("target_high").alias("max_c"),
             F.col("target_ideal").alias("ideal_c"),
+            F.struct(*[round_to(c, 2).alias(c) for c in EXPOSURE_FIELDS]).alias("exposure_summary"),
         ).alias("analysis"),
         "actions",
         execution_results().alias("execution_results"),
@@ -207,17 +210,23 @@ def records(executed: DataFrame) -> DataFrame:
         "notification",
         "escalation",
         F.struct(
-            F.lit(ENGINE_NAME).alias("engine_name"), F.col("prediction_ts").alias("prediction_timestamp"),
-            F.col("ts").alias("telemetry_timestamp"),
+            # The time the case became complete: a later run gives the same record.
+            F.col("matched_ts").alias("engine_timestamp"), F.lit(ENGINE_NAME).alias("engine_name"), "asset_id",
+            F.col("prediction_ts").alias("prediction_timestamp"), F.col("ts").alias("telemetry_timestamp"), F.lit(PREFIX).alias("mqtt_prefix"),
         ).alias("engine_metadata"),
     )
 
 
 def alert_records(decisions: DataFrame) -> DataFrame:
-    """Alerts of all decisions with running numbers, notification before escalation."""
+    """Alerts of all decisions with running numbers, notification before escalation.
+
+    Where the decisions have their reading and prediction, these are the alert's metadata.
+    """
+    documents = [c for c in ("telemetry", "prediction") if c in decisions.columns]
+    metadata = [F.struct("decision_id", *documents).alias("metadata")] if documents else []
     sent = decisions.select(
-        "ts", "decision_no", "decision_id", F.posexplode(kept([F.col("notification"), F.col("escalation")])).alias("place", "alert")
+        "ts", "decision_no", "decision_id", *metadata, F.posexplode(kept([F.col("notification"), F.col("escalation")])).alias("place", "alert")
     )
     return numbered_rows(sent, ["ts", "decision_no", "place"], "alert_no").select(
-        "alert_no", numbered("ALERT_", F.col("alert_no")).alias("alert_id"), "ts", "decision_id", "alert.*"
+        "alert_no", numbered("ALERT_", F.col("alert_no")).alias("alert_id"), "ts", "decision_id", "alert.*", *(["metadata"] if documents else [])
     )

@@ -1,4 +1,4 @@
 """Registered queries: importing this package fills the registry."""
 
-from . import cases, condition, decide, fleet, guidance, learning, reroute, service, streams  # noqa: F401
+from . import cases, condition, decide, fleet, guidance, learning, records, reroute, service, streams  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

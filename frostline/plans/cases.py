@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import round_to
 from ..operators import exposure
-from ..operators.asof import match_latest
+from ..operators.asof import distinct_readings, match_latest
 from ..operators.risk import analyse
 from ..session import materialise
 from .condition import EXPOSED
@@ -18,7 +18,8 @@ from .tables import Tables
 TELEMETRY_AGE, PREDICTION_WAIT = 1800, 900
 
 MATCHED = """
-followed as (select *, lead(ts) over (partition by asset_id order by ts, prediction_id) as next_ts from prediction),
+followed as (select *, lead(ts) over (partition by asset_id order by ts, prediction_id) as next_ts from (
+  select * from prediction qualify row_number() over (partition by asset_id, ts order by prediction_id) = 1)),
 paired as (
  select p.asset_id, p.prediction_id, p.ts as prediction_ts, p.predicted_risk_proxy, p.time_to_failure_hours,
   b.event_id as back_id, b.ts as back_ts, n.event_id as wait_id, n.ts as wait_ts, p.next_ts
@@ -86,11 +87,13 @@ def published(t: Tables) -> DataFrame:
 def match(t: Tables, age: int = TELEMETRY_AGE, wait: int = PREDICTION_WAIT) -> DataFrame:
     """Predictions with the reading each is decided on; predictions that meet none are dropped.
 
-    Only the reading's id and time take part in the matching.
+    Only the reading's id and time take part in the matching. Of predictions with one
+    time the first counts, so a repeated one makes no second decision.
     """
+    predictions = distinct_readings(t.prediction, ["asset_id", "ts"], ["prediction_id"])
     readings = t.telemetry.select("asset_id", "event_id", "ts")
     pairs = match_latest(
-        t.prediction, readings, "asset_id", left_order="prediction_id", right_order="event_id", max_age_s=age, wait_s=wait
+        predictions, readings, "asset_id", left_order="prediction_id", right_order="event_id", max_age_s=age, wait_s=wait
     ).filter(F.col("right").isNotNull())
     return pairs.select(
         "left.asset_id",

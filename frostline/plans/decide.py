@@ -218,9 +218,12 @@ def decision_table(t: Tables) -> DataFrame:
     return decisions.records(decisions.execute(decided(t)))
 
 
-def alert_table(t: Tables) -> DataFrame:
-    """Alerts of all decisions; numbering reads the decisions twice, so they are written first."""
-    needed = decision_table(t).select("ts", "decision_no", "decision_id", "notification", "escalation")
+def alert_table(t: Tables, documents: tuple[str, ...] = ()) -> DataFrame:
+    """Alerts of all decisions; numbering reads the decisions twice, so they are written first.
+
+    ``documents`` of the decision go along as the alert's metadata.
+    """
+    needed = decision_table(t).select("ts", "decision_no", "decision_id", "notification", "escalation", *documents)
     return decisions.alert_records(materialise(needed, "decided"))
 
 
@@ -250,8 +253,9 @@ def action_counts(t: Tables) -> DataFrame:
 @query(
     "decision_records",
     f"""with {DECIDED} select 'DECISION_' || lpad(cast(decision_no as varchar), 6, '0') as decision_id, asset_id, prediction_id, event_id, risk_level,
-    notify_type, action_taken, target_dc, target_temp, matched_ts as ts from (
-     select asset_id, prediction_id, event_id, matched_ts, risk_level, case when risk_level <> 'low' then notify_type end as notify_type,
+    notify_type, action_taken, target_dc, target_temp, matched_ts as ts, matched_ts as engine_timestamp, 'coldchain' as mqtt_prefix,
+    temp_degree_minutes, out_of_range_minutes_in_hour from (
+     select asset_id, prediction_id, event_id, matched_ts, risk_level, temp_degree_minutes, out_of_range_minutes_in_hour, case when risk_level <> 'low' then notify_type end as notify_type,
       case when risk_level <> 'low' then action_taken end as action_taken, target_dc,
       case when risk_level <> 'low' then {rounded('''case when freeze_sensitive and clamped <= freeze_c then greatest(freeze_c + 0.5, hard_low) else clamped end''', 2)} end as target_temp,
       row_number() over (order by matched_ts, asset_id, prediction_id) as decision_no
@@ -269,7 +273,8 @@ def decision_records(t: Tables) -> DataFrame:
         of("adjust_cooling", "action", "action").alias("action_taken"),
         of("reroute", "target_dc", "result").alias("target_dc"),
         of("adjust_cooling", "target_temp", "result").alias("target_temp"),
-        "ts",
+        "ts", "engine_metadata.engine_timestamp", "engine_metadata.mqtt_prefix",
+        "analysis.exposure_summary.temp_degree_minutes", "analysis.exposure_summary.out_of_range_minutes_in_hour",
     )
 
 
@@ -281,11 +286,11 @@ ALERT_FIELDS = "'ALERT_' || lpad(cast(alert_no as varchar), 6, '0') as alert_id,
     f"""with {ALERTS} select {ALERT_FIELDS}, '[' || upper(severity) || '] ' || label || ' - ' || asset_id as title, message,
     array_to_string(people, '|') as recipients, cast(len(people) as integer) as sent_to,
     case severity when 'low' then 'dashboard|audit_log' when 'medium' then 'dashboard|audit_log|email' when 'high' then 'dashboard|audit_log|email|sms'
-     else 'dashboard|audit_log|email|sms|phone_call' end as channels from alert_rows""",
+     else 'dashboard|audit_log|email|sms|phone_call' end as channels, prediction_id from alert_rows""",
 )
 def alert_records(t: Tables) -> DataFrame:
-    return alert_table(t).select(
-        "alert_id", "ts", "asset_id", "alert_type", "severity", "title", "message",
+    return alert_table(t, ("telemetry", "prediction")).select(
+        "metadata.prediction.prediction_id", "alert_id", "ts", "asset_id", "alert_type", "severity", "title", "message",
         F.array_join("recipients", "|").alias("recipients"), "sent_to", F.array_join("channels", "|").alias("channels"),
     )
 

@@ -21,6 +21,7 @@ JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 # Accepted spellings of each field, first match wins.
 ASSET_FIELDS = ("asset_id", "assetid")
+EXPLANATION_ASSET_FIELDS = ("assetid", "asset_id")
 TIME_FIELDS = ("timestamp", "ts")
 TELEMETRY_FIELDS = {
     "temperature": ("temperature", "currenttemp", "temp"),
@@ -74,21 +75,25 @@ def route(decoded: DataFrame, prefix: str = PREFIX) -> DataFrame:
 
 
 def unnest_batches(routed: DataFrame) -> DataFrame:
-    """Readings of fleet messages as messages of their own; items that are no objects are skipped."""
-    items = (
-        routed.filter(F.col("kind") == BATCH)
-        .select("topic", F.explode(F.from_json(F.col("doc")["batch"], "array<string>")).alias("value"))
-    )
+    """Readings as messages of their own, sent singly or in fleet messages; items that are no objects are skipped.
+
+    Every message is decoded once: an item of a fleet message on the way out of its list, any other as it is.
+    """
+    batch = F.col("kind") == BATCH
+    items = F.filter(F.from_json(F.col("doc")["batch"], "array<string>"), lambda x: F.ltrim(x).startswith("{"))
+    docs = F.when(batch, F.transform(items, lambda x: F.from_json(x, OBJECT))).otherwise(F.array("doc"))
+    rows = routed.filter(batch | (F.col("kind") == TELEMETRY)).withColumn("doc", F.explode(docs)).filter(F.col("doc").isNotNull())
     # The fleet topic names no asset, so an item must carry its own id.
-    return (
-        decode(items).filter(F.col("doc").isNotNull())
-        .withColumns({"kind": F.lit(TELEMETRY), "topic": F.lit("")})
-    )
+    return rows.withColumns({"topic": F.when(batch, "").otherwise(F.col("topic")), "kind": F.lit(TELEMETRY)})
 
 
-def asset_id(doc: str = "doc", topic: str = "topic", least_parts: int = 3, reject: str = "") -> Column:
+def asset_id(
+    doc: str = "doc", topic: str = "topic", least_parts: int = 3, reject: str = "", names: Sequence[str] = ASSET_FIELDS
+) -> Column:
     """Id from the document, else the last part of the topic; ``all`` is no id.
 
+    ``names`` are looked at in order; the explanation service takes EXPLANATION_ASSET_FIELDS.
+
     ``least_parts`` is how deep the topic must be, ``reject`` lists characters
     that make a topic part a pattern instead of an id.
     """
@@ -102,7 +107,7 @@ def asset_id(doc: str = "doc", topic: str = "topic", least_parts: int = 3, rejec
         last = F.when(~last.rlike(f"[{reject}]"), last)
     document = F.col(doc)
     return F.coalesce(
-        *[usable(document[n]) for n in ASSET_FIELDS], F.when(F.size(parts) >= least_parts, last)
+        *[usable(document[n]) for n in names], F.when(F.size(parts) >= least_parts, last)
     )
 
 
@@ -113,9 +118,7 @@ def identified(messages: DataFrame, **options) -> DataFrame:
 
 def readings(messages: DataFrame, prefix: str = PREFIX) -> DataFrame:
     """All readings of a message table, sent singly or in fleet messages."""
-    routed = route(decode(messages), prefix)
-    single = routed.filter(F.col("kind") == TELEMETRY)
-    return identified(single.unionByName(unnest_batches(routed)))
+    return identified(unnest_batches(route(decode(messages), prefix)))
 
 
 def timestamp(doc: str | Column = "doc") -> Column:
