@@ -27,6 +27,11 @@ HEADLINE = [
     "train_sequences",
     "score_sequences",
     "vector_topk",
+    "text_topk",
+    "explanation_text",
+    "fleet_snapshot",
+    "stream_decisions",
+    "stream_exposure",
 ]
 
 
