@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 MASKS = ("11111", "111011", "101111")
 #: Words of an overlap, and the share of them that must be equal.
 OVERLAP, SHARE = 13, 0.8
+#: Places of a text that are taken together.
+SEGMENT = 256
 #: Most benchmark seeds that are sent to every task at once; more are taken in blocks.
 MOST_SEEDS = 500_000
 
@@ -28,21 +30,41 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(tokens: str) -> Column:
-    """(seed, at, span) for every place of every mask."""
+def with_seeds(rows: DataFrame, low: Column, high: Column) -> DataFrame:
+    """The rows with ``at``, ``span`` and ``seed``: each place of ``_tokens`` from low to before high, and each mask that fits there.
+
+    Places are exploded first: a seed is then a plain expression over a row, which Spark compiles; a
+    lambda over the array would be interpreted.
+    """
+
+    def seed(number: int, mask: str) -> Column:
+        hashed = F.xxhash64(F.lit(number), *(F.get("_tokens", F.col("at") + i) for i, c in enumerate(mask) if c == "1"))
+        return F.when(F.col("at") + len(mask) <= F.size("_tokens"), hashed)
+
+    places = rows.where(low < high).select(*rows.columns, F.explode(F.sequence(low, high - 1)).alias("at"))
+    found = places.select("*", F.posexplode(F.array(*(seed(i, m) for i, m in enumerate(MASKS)))).alias("_mask", "seed")).where("seed is not null")
+    spans = F.array(*(F.lit(len(m)) for m in MASKS))
+    return found.withColumn("span", F.get(spans, F.col("_mask"))).drop("_mask")
 
-    def of(number: int, mask: str) -> Column:
-        picked = [i for i, c in enumerate(mask) if c == "1"]
 
-        def seed(at: Column) -> Column:
-            hashed = F.xxhash64(F.lit(number), *(F.get(F.col(tokens), at + i) for i in picked))
-            return F.struct(hashed.alias("seed"), at.alias("at"), F.lit(len(mask)).alias("span"))
+def segments(rows: DataFrame) -> DataFrame:
+    """The rows with ``_tokens`` in pieces: ``_begin`` to ``_end`` are the piece's own places, the others their surroundings.
 
-        places = F.sequence(F.lit(0), F.size(tokens) - len(mask))
-        empty = F.array().cast("array<struct<seed:bigint,at:int,span:int>>")
-        return F.when(F.size(tokens) >= len(mask), F.transform(places, seed)).otherwise(empty)
+    ``_base`` is the first token's place in the text. What goes with each place is then a piece, however long the text.
+    """
+    before, after = OVERLAP - min(len(m) for m in MASKS), OVERLAP
+
+    def piece(start: Column) -> Column:
+        base = F.greatest(F.lit(0), start - before)
+        return F.struct(
+            base.alias("_base"), (start - base).alias("_begin"), (F.least(F.size("_tokens"), start + SEGMENT) - base).alias("_end"),
+            F.slice("_tokens", base + 1, start + SEGMENT + after - base).alias("_tokens"),
+        )
 
-    return F.concat(*(of(i, m) for i, m in enumerate(MASKS)))
+    rest = [c for c in rows.columns if c != "_tokens"]
+    some = rows.where(F.size("_tokens") > 0)
+    pieces = F.transform(F.sequence(F.lit(0), F.size("_tokens") - 1, F.lit(SEGMENT)), piece)
+    return some.select(*rest, F.explode(pieces).alias("_p")).select(*rest, "_p.*")
 
 
 def benchmark_seeds(benchmark: DataFrame, text: str, key: str) -> DataFrame:
@@ -51,12 +73,12 @@ def benchmark_seeds(benchmark: DataFrame, text: str, key: str) -> DataFrame:
     ``item_tokens`` are those of the overlaps that contain the seed; ``item_at`` is the place of the first of them.
     """
     items = benchmark.where(F.col(key).isNotNull()).select(F.col(key).alias("item"), token_hashes(F.col(text)).alias("_tokens"))
-    found = items.where(F.size("_tokens") >= 5).withColumn("s", F.explode(seeds("_tokens")))
+    found = with_seeds(items.where(F.size("_tokens") >= 5), F.lit(0), F.size("_tokens"))
     window = F.least(F.lit(OVERLAP), F.size("_tokens"))
-    low = F.greatest(F.lit(0), F.col("s.at") + F.col("s.span") - window)
-    high = F.least(F.size("_tokens"), F.col("s.at") + window)
+    low = F.greatest(F.lit(0), F.col("at") + F.col("span") - window)
+    high = F.least(F.size("_tokens"), F.col("at") + window)
     return found.select(
-        "item", F.col("s.seed").alias("seed"), low.alias("item_at"), (F.col("s.at") - low).alias("before"), window.alias("window"),
+        "item", "seed", low.alias("item_at"), (F.col("at") - low).alias("before"), window.alias("window"),
         F.slice("_tokens", low + 1, high - low).alias("item_tokens"),
     )
 
@@ -64,19 +86,20 @@ def benchmark_seeds(benchmark: DataFrame, text: str, key: str) -> DataFrame:
 def _hits(documents: DataFrame, index: DataFrame, text: str, key: str) -> DataFrame:
     """(key, item, matched, window, first_word): best overlap of each document, item and diagonal."""
     tokens = documents.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), token_hashes(F.col(text)).alias("_tokens"))
-    found = tokens.select("_key", "_tokens", F.explode(seeds("_tokens")).alias("s")).select("_key", "_tokens", F.col("s.seed").alias("seed"), F.col("s.at").alias("at"))
-    hits = found.join(index, "seed")
+    hits = with_seeds(segments(tokens), F.col("_begin"), F.col("_end")).drop("span").join(index, "seed")
     first = F.col("at") - F.col("before")
     equal = F.transform(
         F.sequence(F.lit(0), F.size("item_tokens") - 1),
         lambda i: F.when(F.get("_tokens", F.when(first + i >= 0, first + i).otherwise(F.size("_tokens"))) == F.get("item_tokens", i), 1).otherwise(0),
     )
-    near = hits.select("_key", "item", "item_at", "window", first.alias("first"), equal.alias("equal"))
+    near = hits.select("_key", "item", "window", (F.col("_base") + first).alias("first"), F.explode(F.array(equal)).alias("equal"))
     totals = F.transform(
         F.sequence(F.lit(0), F.size("equal") - F.col("window")),
         lambda i: F.struct(F.aggregate(F.slice("equal", i + 1, F.col("window")), F.lit(0), lambda a, b: a + b).alias("n"), (-i).alias("i")),
     )
-    best = near.withColumn("best", F.array_max(totals)).where(F.col("best.n") >= F.ceil(F.col("window") * SHARE))
+    # Exploding a one-element array keeps Spark from computing it anew in every place that names it.
+    good = F.filter(F.array(F.array_max(totals)), lambda b: b["n"] >= F.ceil(F.col("window") * SHARE))
+    best = near.select("*", F.explode(good).alias("best"))
     place = F.greatest(F.lit(0), F.col("first") - F.col("best.i"))
     return best.groupBy(F.col("_key").alias(key), "item").agg(
         F.max("best.n").alias("matched"), F.max("window").alias("overlap"),
