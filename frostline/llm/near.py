@@ -27,7 +27,7 @@ MINIMA = BANDS * ROWS
 #: Standard deviations that an estimate may fall short of the threshold.
 SLACK = 5.0
 #: Members of a band that are compared with each other at once.
-BLOCK = 2_048
+BLOCK = 1_024
 
 _rng = np.random.default_rng(11)
 _FACTORS = _rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) | np.uint64(1)
@@ -154,14 +154,23 @@ def _star_pairs(members: DataFrame, needed: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
-def _other_pairs(members: DataFrame, components: DataFrame, needed: int) -> DataFrame:
-    """Pairs of a band that are in different components and whose estimate allows a link.
+def _common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Shingles that a set has in common with each of some others."""
+    sizes = np.array([len(o) for o in others])
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    return np.add.reduceat((one[at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+
+
+def _other_links(members: DataFrame, components: DataFrame, facts: DataFrame, needed: int, percent: int) -> DataFrame:
+    """Links between members of a band that are in different components.
 
     Members are dealt to blocks by hash; a band's blocks meet two at a time, each meeting one group, so no task
-    holds a band. A pair that shares several bands comes out of the first.
+    holds a band. A pair that shares several bands is compared in the first. Full sets are compared in the group, and of the links
+    between parts that are already linked there one is given: no more links come out than members go in.
     """
     labelled_ = members.join(components, members["id"] == components["node"], "left").select(
-        "band", "id", "signature", "place", F.coalesce("component", "id").alias("c")
+        "band", "place", "id", F.coalesce("component", "id").alias("c")
     )
     mixed = labelled_.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low != high")
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
@@ -169,21 +178,34 @@ def _other_pairs(members: DataFrame, components: DataFrame, needed: int) -> Data
     dealt = (
         labelled_.join(mixed.select("band", blocks.alias("blocks")), "band").withColumn("own", own)
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "signature", "c")
+        .select("band", "place", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "c")
+        .join(facts, "id")
     )
 
     def run(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        ids, c, own_ = (table.column(k).to_numpy() for k in ("id", "c", "own"))
+        i, j, place = (table.column(k)[0].as_py() for k in ("i", "j", "place"))
+        ids, label, own_ = (table.column(k).to_numpy().copy() for k in ("id", "c", "own"))
         packed = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
-        left = np.flatnonzero(own_ == i)
-        a, b = [], []
-        for x in left.tolist():
-            right = np.flatnonzero((own_ == j) & (c != c[x]) & ((ids > ids[x]) if i == j else True))
-            hit = right[_EQUAL[packed[right] ^ packed[x]].sum(1, dtype=np.int32) >= needed]
-            a.append(np.minimum(ids[x], ids[hit]))
-            b.append(np.maximum(ids[x], ids[hit]))
-        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+        earlier = np.array(table.column("bands").to_pylist(), np.int64)[:, :place]
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        inside = np.flatnonzero(own_ == j)
+        links: list[tuple[int, int]] = []
+        for x in np.flatnonzero(own_ == i).tolist():
+            right = inside[(label[inside] != label[x]) & ((ids[inside] > ids[x]) if i == j else True)]
+            right = right[_EQUAL[packed[right] ^ packed[x]].sum(1, dtype=np.int32) >= needed]
+            right = right[~(earlier[right] == earlier[x]).any(1)]
+            right = right[100 * np.minimum(sizes[right], sizes[x]) >= percent * np.maximum(sizes[right], sizes[x])]
+            if not len(right):
+                continue
+            common = _common(sets[x], [sets[y] for y in right.tolist()])
+            near = right[100 * common >= percent * (sizes[right] + sizes[x] - common)]
+            _, one = np.unique(label[near], return_index=True)
+            for y in near[one].tolist():
+                links.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                label[label == label[y]] = label[x]
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return dealt.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
@@ -216,8 +238,8 @@ def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id
     sets = sets.dropDuplicates(["id", "shingles"])
     needed = equal_minima_needed(percent)
     links = materialise(verified(_star_pairs(members, needed), sets, percent), "near")
-    others = _other_pairs(members, connected_components(links), needed)
-    links = links.union(materialise(verified(others, sets, percent), "near"))
+    facts = sets.join(classes.select("id", "signature", "bands"), "id")
+    links = links.union(materialise(_other_links(members, connected_components(links), facts, needed, percent), "near"))
     # Copies join their class, and with it everything that it links to.
     copies = table.where("n > 0").join(classes.select("digest", "id"), "digest").where("_key != id").select(F.col("id").alias("a"), F.col("_key").alias("b"))
     reached = connected_components(links.union(copies))
