@@ -11,16 +11,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from frostline.session import partitions
 
 #: Bytes of input for each bucket; a bucket's keys stay far below a task's memory.
 BUCKET_BYTES = 8 << 20
+#: What Spark takes for the size of rows it knows nothing about is above this.
+UNKNOWN = 1 << 60
 
 
-def bucket_bits(documents: DataFrame) -> int:
-    """Bits of a key that name its bucket: as many buckets as the input's estimated size asks for."""
+def bucket_bits(documents: DataFrame, text: str = "text") -> int:
+    """Bits of a key that name its bucket: as many buckets as the input's size asks for.
+
+    The size is Spark's estimate, for files what they take; where Spark has none, the texts are measured.
+    """
     size = int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= UNKNOWN:
+        size = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
     least = max(64, 2 * partitions(documents.sparkSession), size // BUCKET_BYTES)
     return min(24, int(least - 1).bit_length())
 
@@ -28,7 +36,9 @@ def bucket_bits(documents: DataFrame) -> int:
 def split(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
     """The bucket and place of each run of sorted 64-bit keys."""
     numbers = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]])) if len(numbers) else np.zeros(0, np.int64)
+    if not len(numbers):
+        return
+    starts = runs(numbers)
     for a, b in zip(starts, np.concatenate([starts[1:], [len(numbers)]]).astype(np.int64), strict=True):
         yield int(numbers[a]), slice(int(a), int(b))
 

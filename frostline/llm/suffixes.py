@@ -203,7 +203,7 @@ def _covered(ids: np.ndarray, rows: np.ndarray, ahead: np.ndarray, behind: np.nd
     # In mixed groups each string is compared by itself; a group is never cut in two.
     at = 0
     while at < len(mixed):
-        end = min(len(mixed), at + 50_000)
+        end = min(len(mixed), at + 10_000)
         while end < len(mixed) and group[mixed[end]] == group[mixed[end - 1]]:
             end += 1
         some = mixed[at:end]
@@ -219,6 +219,12 @@ def _covered(ids: np.ndarray, rows: np.ndarray, ahead: np.ndarray, behind: np.nd
             code = arrays.mix(code * np.uint64(0x9E3779B97F4A7C15) + column)
         order = np.lexsort((ids[entry], code))
         starts = buckets.runs(code[order])
+        ordered = words.view(np.uint64)[order]
+        if not (ordered == ordered[np.repeat(starts, np.diff(np.concatenate([starts, [len(order)]])))]).all():
+            # Different strings with one hash: sorted by their bytes instead.
+            order = np.lexsort((ids[entry], *words.view(np.uint64).T))
+            ordered = words.view(np.uint64)[order]
+            starts = np.flatnonzero(np.concatenate([[True], (ordered[1:] != ordered[:-1]).any(1)]))
         smallest = np.repeat(ids[entry][order][starts], np.diff(np.concatenate([starts, [len(order)]])))
         hit = order[ids[entry][order] > smallest]
         out.append(_intervals(ids[entry[hit]], place[entry[hit]] - back[hit], place[entry[hit]] - back[hit] + length))
@@ -232,19 +238,25 @@ def _interval_rows(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple
     return ids[first].tolist(), [buckets.packed(x) for x in np.split(both, first[1:])] if len(first) else []
 
 
-def repeated_spans(candidates: DataFrame, length: int, bits: int, parts: int) -> DataFrame:
-    """(id, spans): covered intervals from rows (id, text, keys), several rows for a document; united later."""
-    left, width = length - ANCHOR, 2 * length - ANCHOR
+def _splitters(documents: DataFrame, shared: DataFrame, length: int, bits: int, parts: int) -> np.ndarray:
+    """Strings that cut the suffixes into parts, from those of at most 16 documents a part."""
+    left = length - ANCHOR
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, rows, *_ in _entries(batch, length, bits):
+            for _, rows, *_ in _entries(batch, length, bits):
                 some = rows[:: max(1, len(rows) // 64), left : left + ANCHOR]
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in some], pa.binary())], names=["string"])
 
-    some = candidates.orderBy(F.xxhash64("id")).limit(16 * parts).mapInArrow(sample, "string binary")
-    taken = sorted(r.string for r in some.orderBy(F.xxhash64("string")).limit(OVERSAMPLE * parts).collect())
-    splitters = np.array(sorted({taken[i * len(taken) // parts] for i in range(1, parts)}) if taken else [], f"S{ANCHOR}")
+    few = shared.orderBy(F.xxhash64("id"), "id").limit(16 * parts).select("id", "keys")
+    strings = documents.join(F.broadcast(few), "id").mapInArrow(sample, "string binary")
+    taken = sorted(r.string for r in strings.orderBy(F.xxhash64("string")).limit(OVERSAMPLE * parts).collect())
+    return np.array(sorted({taken[i * len(taken) // parts] for i in range(1, parts)}) if taken else [], f"S{ANCHOR}")
+
+
+def repeated_spans(candidates: DataFrame, length: int, bits: int, parts: int, splitters: np.ndarray) -> DataFrame:
+    """(id, spans): covered intervals from rows (id, text, keys), several rows for a document; united later."""
+    left, width = length - ANCHOR, 2 * length - ANCHOR
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = pa.int32(), pa.binary(), *[pa.binary()] * 8
@@ -259,11 +271,11 @@ def repeated_spans(candidates: DataFrame, length: int, bits: int, parts: int) ->
                 ids, low, high, place = ids[order], low[order], high[order], place[order]
                 same = np.concatenate([[False], (own[1:] == own[:-1]).all(1)])
                 head = np.maximum.accumulate(np.where(same, 0, np.arange(len(own))))
-                # Equal suffixes go out once, with the smallest id; the others' strings are covered already.
+                # Equal suffixes go out with the smallest id alone; the others' strings are covered already.
                 known = same & (ids > ids[head])
                 done = _intervals(ids[known], place[known] - high[known], place[known] - low[known] + length)
                 rows_ = [(-1 - int(i) % parts, None, None, s, buckets.packed(np.array([i])), None, None, None, None, None) for i, s in zip(*_interval_rows(*done), strict=True)]
-                kept = ~same
+                kept = ~known
                 own, ids, low, high, place = own[kept], ids[kept], low[kept], high[kept], place[kept]
                 target = np.searchsorted(splitters, np.ascontiguousarray(own[:, :ANCHOR]).view(f"S{ANCHOR}")[:, 0], side="right") if len(splitters) else np.zeros(len(own), int)
                 bounds = buckets.runs(target)
@@ -309,7 +321,7 @@ def repeated_spans(candidates: DataFrame, length: int, bits: int, parts: int) ->
 
 
 def _removed(rows: DataFrame) -> DataFrame:
-    """(id, n_removed, n_spans, kept_sha256) from (id, text, spans)."""
+    """(id, sha, n_removed, n_spans, kept_sha256) from (id, sha, text, spans)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,9 +338,9 @@ def _removed(rows: DataFrame) -> DataFrame:
                 for column, value in zip(out, (int((end - start).sum()), len(start), kept.hexdigest()), strict=True):
                     column.append(value)
             columns = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sha"), *columns], names=["id", "sha", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.select("id", "text", "spans").mapInArrow(run, "id long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.select("id", "sha", "text", "spans").mapInArrow(run, "id long, sha string, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(documents: DataFrame, text: str = "text", key: str = "doc_id", length: int = 50, parts: int | None = None) -> DataFrame:
@@ -349,16 +361,17 @@ def remove_repeats(documents: DataFrame, text: str = "text", key: str = "doc_id"
     base = materialise(rows.select("id", F.octet_length("text").cast("long").alias("n"), F.sha2("text", 256).alias("sha")), "texts")
     firsts = base.where("id is not null").groupBy("sha").agg(F.min("id").alias("first"))
     keyed = rows.where("id is not null")
-    shared = shared_anchors(keyed, length).groupBy("id").agg(F.collect_list("keys").alias("keys"))
     first = base.join(firsts, "sha").where("id = first").groupBy("id").agg(F.min("sha").alias("sha"))
-    candidates = (
-        keyed.join(shared.join(first, "id"), "id").where(F.sha2("text", 256) == F.col("sha"))
-        .dropDuplicates(["id", "sha"]).select("id", "sha", "text", "keys")
-    )
-    candidates = materialise(candidates, "candidates")
-    spans = repeated_spans(candidates, length, buckets.bucket_bits(keyed), parts)
-    spans = spans.groupBy("id").agg(F.collect_list("spans").alias("spans"))
-    cleaned = _removed(candidates.join(spans, "id")).join(first, "id")
+    shared = shared_anchors(keyed, length).groupBy("id").agg(F.collect_list("keys").alias("keys")).join(first, "id")
+    shared = materialise(shared, "anchors")
+    bits = buckets.bucket_bits(keyed)
+    splitters = _splitters(keyed, shared, length, bits, parts)
+    # Both joins deal the texts out by key in the same way, so Spark shuffles them once.
+    texts = keyed.withColumn("sha", F.sha2("text", 256))
+    candidates = texts.join(shared, ["id", "sha"])
+    spans = repeated_spans(candidates, length, bits, parts, splitters).groupBy("id").agg(F.collect_list("spans").alias("spans"))
+    spans = spans.join(first, "id")
+    cleaned = _removed(texts.join(spans, ["id", "sha"])).dropDuplicates(["id"])
     empty = hashlib.sha256(b"").hexdigest()
     copy = (F.col("first") < F.col("id")) & (F.col("n") >= length)
     whole = base.join(firsts, "sha", "left").join(cleaned, ["id", "sha"], "left")
