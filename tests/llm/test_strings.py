@@ -54,6 +54,15 @@ def test_edges_of_repeats(spark):
     assert got == brute(rows)
 
 
+def test_a_chunk_of_copies_alone(spark):
+    """All strings of each chunk are shared there, or none is left to send."""
+    text = "".join(chr(97 + i % 23) for i in range(400))
+    rows = [(i, text + str(i % 2) * 60) for i in range(8)]
+    for parts in (1, 4):
+        got = {r.doc_id: tuple(r)[1:] for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()}
+        assert got == brute(rows)
+
+
 @pytest.mark.parametrize("width,count", [(4, 1), (6, 3), (50, 9), (3, 16)])
 def test_merge_of_front_coded_runs(width, count):
     rng = np.random.default_rng(width)
@@ -102,6 +111,17 @@ def test_every_long_passage_has_a_whole_paragraph(spark):
     assert found == {2 * i + 1 for i in range(60)}
 
 
+def test_passages_that_repeat_within_a_document_too(spark):
+    """A document's second copy of another's passage goes as well, wherever the rows are read."""
+    passage = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, passage), (2, f"{passage} a b c {passage}"), (3, f"x {passage} y z {passage} w")]
+    for parts in (1, 3):
+        gone = {}
+        for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")).collect():
+            gone[r.doc_id] = gone.get(r.doc_id, 0) + r.end_word - r.first_word
+        assert set(gone) == {2, 3} and all(n >= 2 * passages.PARAGRAPH for n in gone.values())
+
+
 def test_edited_passages_are_verified(spark):
     rng = random.Random(4)
     words = [f"v{rng.randrange(10**6)}" for _ in range(120)]
@@ -111,7 +131,34 @@ def test_edited_passages_are_verified(spark):
         many[i] = f"other{i}"
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(few)), (3, " ".join(many))], "doc_id long, text string")
     assert {r.doc_id for r in passages.repeated_passages(df).collect()} == {2}
-    assert passages.edit_distance([1, 2, 3, 4], [1, 3, 4, 5], 4) == 2 and passages.edit_distance([1] * 9, [2] * 9, 3) == 4
+
+
+def test_similarities_of_pairs():
+    rng = np.random.default_rng(7)
+    a = rng.integers(0, 6, (300, passages.PARAGRAPH)).astype(np.uint64)
+    b = a.copy()
+    for i in range(300):
+        at = rng.integers(0, passages.PARAGRAPH, rng.integers(0, 8))
+        b[i, at] = rng.integers(0, 9, len(at))
+        if i % 4 == 0:
+            b[i] = np.concatenate([b[i][1:], [99]])
+    sets = lambda w: {tuple(w[i : i + passages.SHINGLE]) for i in range(len(w) - passages.SHINGLE + 1)}
+
+    def edits(x, y):
+        before = list(range(len(y) + 1))
+        for i, p in enumerate(x, 1):
+            now = [i]
+            for j, q in enumerate(y, 1):
+                now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (p != q)))
+            before = now
+        return before[-1]
+
+    similar, edited = passages.jaccard(a, b), passages.edit_distances(a, b, 5)
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        p, q = sets(x), sets(y)
+        assert abs(similar[i] - len(p & q) / len(p | q)) < 1e-12
+        want = edits(x, y)
+        assert edited[i] == want if want <= 5 else edited[i] > 5
 
 
 def test_nothing(nothing):
