@@ -1,7 +1,7 @@
 """Exact duplicates: a content sort that brings equal texts together.
 
-Method: normalised texts are range-partitioned by sampled splitters and sorted
-externally (Spark's range exchange and sort); equal texts are then neighbours,
+Method: normalised texts are range-partitioned by sampled splitters (their first bytes, then their
+digest) and sorted externally (Spark's range exchange and sort); equal texts are then neighbours,
 and a window compares neighbours in full and keeps the smallest identifier.
 DataFrame functions only.
 """
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from frostline.session import materialise, partitions
 
+#: Characters of a text in a splitter.
+HEAD = 32
 #: Parts a frequent text's rows are dealt to.
 SALTS = 64
 
@@ -44,15 +46,16 @@ def exact_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_i
     """
     parts = parts or partitions(documents.sparkSession)
     rows = documents.select(F.col(key).alias("_key"), normalised(F.col(text)).alias("_text"))
-    rows = rows.withColumn("_digest", F.sha2("_text", 256))
+    # Splitters are sampled to the driver: the text's start and its digest stand for it there, and equal texts have equal ones.
+    rows = rows.withColumns({"_digest": F.sha2("_text", 256), "_head": F.substring("_text", 1, HEAD)})
     digests = materialise(rows.select("_digest"), "digests")
     dealt = rows.join(F.broadcast(frequent(digests, parts)), "_digest", "left").withColumn(
         "_part", F.when(F.col("_frequent"), F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int")).otherwise(-1)
     )
-    same = Window.partitionBy("_text", "_part")
+    same = Window.partitionBy("_head", "_digest", "_text", "_part")
     first = same.orderBy(F.col("_key").asc_nulls_last())
     sorted_ = (
-        dealt.repartitionByRange(parts, "_text", "_part")
+        dealt.repartitionByRange(parts, "_head", "_digest", "_part")
         .select(
             "_key", "_digest", "_part", "_text",
             F.row_number().over(first).alias("_place"),
