@@ -22,6 +22,8 @@ RULES = (
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LABEL = "verdict="
+#: Verdict of pages that no list names; no rule gives it.
+UNLISTED = "unlisted"
 
 
 def _rest(url: Column) -> Column:
@@ -73,7 +75,7 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     says = F.element_at("consequent", 1)
     rules = (
-        model.associationRules.where(says.startswith(_LABEL))
+        model.associationRules.where(says.startswith(_LABEL) & (says != _LABEL + UNLISTED))
         .where(~F.exists("antecedent", lambda x: x.startswith(_LABEL)))
         .select(
             F.array_sort("antecedent").alias("tokens"),
@@ -118,7 +120,7 @@ def judge(
 ) -> DataFrame:
     """Verdict on every page's url: a listed rule's, else that of the mined rules, else the default.
 
-    The URLs that listed rules judge are the labelled examples. Returns
+    The URLs that listed rules judge are the labelled examples, all others count as unlisted. Returns
     page_id, host, path, rule (null if none fits) and verdict, a row for each
     input row: repeated rows, null urls and null ids keep theirs. A null url or one without
     ``://`` has an empty host and path. Other columns of the input are ignored. An empty
@@ -128,7 +130,8 @@ def judge(
     plain = pages.select("page_id", host_.alias("host"), path_.alias("path"))
     rule, verdict = listed(F.col("host"), F.col("path"), rules)
     seen = plain.withColumns({"rule": rule, "listed": verdict, "tokens": tokens(F.col("host"), F.col("path"))})
-    labelled = seen.where("listed is not null").select("tokens", F.col("listed").alias("verdict"))
+    # Pages that no list names count against a rule's confidence: the lists cover what they were written for, no even sample.
+    labelled = seen.select("tokens", F.coalesce("listed", F.lit(UNLISTED)).alias("verdict"))
     open_ = seen.where("rule is null").select("tokens").distinct()
     mined = match(open_.withColumn("_shape", F.col("tokens")), mine(labelled, min_support, min_confidence), "_shape")
     return seen.join(mined.withColumnRenamed("_shape", "tokens"), "tokens", "left").select(
