@@ -2,9 +2,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from frostline.llm import merging, passages, suffixes
+from frostline.llm import arrays, merging, passages, suffixes
 
 
 def brute(rows, length=50):
@@ -133,6 +134,62 @@ def test_edited_passages_are_verified(spark):
     assert {r.doc_id for r in passages.repeated_passages(df).collect()} == {2}
 
 
+def _behind_heads():
+    """Two near copies and, for each band that both are in, an unlike earlier paragraph of the same key."""
+    rng = random.Random(12)
+    word = lambda: f"v{rng.randrange(10**6)}"
+
+    def keys(texts):
+        data, offsets = arrays.text_bytes(pa.array(texts))
+        return passages.paragraphs(*arrays.word_hashes(data, offsets))[2][:, 1:]
+
+    while True:
+        words = [word() for _ in range(passages.PARAGRAPH)]
+        copy = [*words[:-1], "changed"]
+        one, two = keys([" ".join(words), " ".join(copy)])
+        heads = {}
+        for _ in range(20):
+            at = rng.randrange(10)
+            texts = [" ".join([*(word() for _ in range(at)), *words[at : at + 19], *(word() for _ in range(9 - at))]) for _ in range(50)]
+            for text, key in zip(texts, keys(texts), strict=True):
+                heads |= {band: text for band in np.flatnonzero((key == one) & (key == two)).tolist()}
+        if set(heads) == set(np.flatnonzero(one == two).tolist()):
+            return sorted(set(heads.values())), " ".join(words), " ".join(copy)
+
+
+@pytest.mark.parametrize("block,loose", [(2_048, 16), (2, 1)])
+def test_near_copies_behind_an_unlike_paragraph(spark, monkeypatch, block, loose):
+    """Each band that two near copies share starts with a paragraph that is not alike to them; in one chunk and in several."""
+    monkeypatch.setattr(passages, "BLOCK", block)
+    monkeypatch.setattr(passages, "LOOSE", loose)
+    heads, one, two = _behind_heads()
+    rows = [*enumerate(heads), (100, one), (101, two)]
+    for parts in (1, 4):
+        found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")).collect()
+        assert {(r.doc_id, tuple(r.keep_ids)) for r in found} == {(101, (100,))}
+
+
+def test_chains_behind_one_near_copy(spark, monkeypatch):
+    """What links are left after each has met its first partner is found across components."""
+    monkeypatch.setattr(passages, "BLOCK", 4)
+    monkeypatch.setattr(passages, "LOOSE", 2)
+    rng = random.Random(8)
+    words = [f"v{rng.randrange(10**6)}" for _ in range(passages.PARAGRAPH)]
+    rows = []
+    for i in rng.sample(range(24), 24):
+        rows.append((i, " ".join(words)))
+        words[-1 - len(rows) % passages.PARAGRAPH] = f"new{i}"
+    every = np.array([[hash(w) & (2**62 - 1) for w in t.split()] for _, t in sorted(rows)], np.uint64)
+    want = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            near = passages.alike(np.repeat(every[[i]], len(rows), 0), every)
+            want[i] = min(w for w, n in zip(want, near, strict=True) if n)
+    for parts in (1, 4):
+        found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")).collect()
+        assert {r.doc_id: r.keep_ids for r in found} == {i: [w] for i, w in enumerate(want) if w != i}
+
+
 def test_similarities_of_pairs():
     rng = np.random.default_rng(7)
     a = rng.integers(0, 6, (300, passages.PARAGRAPH)).astype(np.uint64)
