@@ -78,48 +78,78 @@ def _digest(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return arrays.span_hash(arrays.prefix_hash(data), offsets[:-1], offsets[1:])
 
 
+def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Packed anchors of each chunk by bucket: a k-gram once, with the document that has it or the first of several.
+
+    K-grams that several different texts of the chunk have go with all of them under a bucket below zero, nothing to be compared.
+    """
+    for batch in batches:
+        for a, b, data, offsets in arrays.chunks(batch.column(1)):
+            found = anchors(data, offsets, length)
+            if not len(found.key):
+                continue
+            ids = batch.column(0).slice(a, b - a).to_numpy()
+            digest = _digest(data, offsets)
+            # Of equal texts only the first is compared with others.
+            order = np.lexsort((ids, digest))
+            leads = np.zeros(len(ids), bool)
+            leads[order[buckets.runs(digest[order])]] = True
+            own = leads[found.owner]
+            key, owner = found.key[own], found.owner[own]
+            order = np.lexsort((owner, key))
+            key, owner = key[order], owner[order]
+            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
+            key, owner = key[fresh], owner[fresh]
+            start = buckets.runs(key)
+            sizes = np.diff(np.concatenate([start, [len(key)]]))
+            several = np.repeat(sizes > 1, sizes)
+            rows = []
+            if several.any():
+                docs, place = np.unique(owner[several], return_inverse=True)
+                code = buckets.whole(0, buckets.within(key[several], bits), bits) | (key[several] >> np.uint64(64 - bits) << np.uint64(32))
+                spread = int(arrays.mix(ids[:1].astype(np.uint64))[0] >> np.uint64(64 - bits))
+                rows.append((-1 - spread, True, buckets.packed(ids[docs]), None, buckets.packed(code), buckets.packed(place.astype("<u4" if len(docs) > 65535 else "<u2"))))
+            known, k, o = several[start], key[start], owner[start]
+            for flag in (False, True):
+                for bucket, run in buckets.split(k[known == flag], bits):
+                    docs, place = np.unique(o[known == flag][run], return_inverse=True)
+                    low = buckets.within(k[known == flag][run], bits)
+                    rows.append((
+                        bucket, flag, buckets.packed(ids[docs]), buckets.packed(digest[docs]),
+                        buckets.packed(low), buckets.packed(place.astype("<u4" if len(docs) > 65535 else "<u2")),
+                    ))
+            columns = zip(*rows, strict=True)
+            types = pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["bucket", "known", "ids", "digests", "keys", "owners"]
+            )
+
+
 def shared_anchors(documents: DataFrame, length: int) -> DataFrame:
     """(id, keys) of documents whose anchors' k-grams stand in a different document too; several rows for a document.
 
-    A k-gram that several documents of a chunk have is known to be shared there; for the others it is sent once.
+    A k-gram is sent to its bucket once per chunk, however many documents of the chunk have it; what several of them have is known to be
+    shared there. Of a chunk's copies of a text the smallest id stands for all.
     """
     bits = buckets.bucket_bits(documents)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in arrays.chunks(batch.column(1)):
-                found = anchors(data, offsets, length)
-                if not len(found.key):
-                    continue
-                ids = batch.column(0).slice(a, b - a).to_numpy()
-                digest = _digest(data, offsets)
-                order = np.lexsort((digest[found.owner], found.key))
-                key, owner = found.key[order], found.owner[order]
-                start = buckets.runs(key)
-                lasts = np.concatenate([start[1:], [len(key)]]) - 1
-                several = np.repeat(digest[owner[start]] != digest[owner[lasts]], lasts - start + 1)
-                # Of the same text's copies each sends its k-grams: a copy elsewhere does not make them shared.
-                fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
-                sent = (fresh & ~several) | np.isin(np.arange(len(key)), start)
-                rows = []
-                for known, kept in ((False, sent), (True, several & fresh)):
-                    k, o = key[kept], owner[kept]
-                    for bucket, run in buckets.split(k, bits):
-                        own, place = np.unique(o[run], return_inverse=True)
-                        for part in range(0, len(place), 1 << 16):
-                            some = slice(part, part + (1 << 16))
-                            rows.append((
-                                bucket, known, buckets.packed(ids[own]), buckets.packed(digest[own]),
-                                buckets.packed(buckets.within(k[run][some], bits)), buckets.packed(place[some].astype("<u4" if len(own) > 65535 else "<u2")),
-                            ))
-                columns = zip(*rows, strict=True)
-                types = pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["bucket", "known", "ids", "digests", "keys", "owners"]
-                )
+        yield from _anchor_rows(batches, length, bits)
+
+    def known_shared(table: pa.Table) -> pa.Table:
+        out = ([], [])
+        for i, k, o in zip(*(table.column(c).to_pylist() for c in ("ids", "keys", "owners")), strict=True):
+            i, k = np.frombuffer(i, np.int64), np.frombuffer(k, np.uint64)
+            o = np.frombuffer(o, "<u4" if len(i) > 65535 else "<u2")
+            order = np.argsort(o, kind="stable")
+            out[0].extend(i.tolist())
+            out[1].extend(buckets.packed(np.unique(x)) for x in np.split(k[order], buckets.runs(o[order])[1:]))
+        return pa.table({"id": pa.array(out[0], pa.int64()), "keys": pa.array(out[1], pa.binary())})
 
     def compare(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
+        if bucket < 0:
+            return known_shared(table)
         columns = {c: table.column(c).to_pylist() for c in ("known", "ids", "digests", "keys", "owners")}
         ids, digests, keys, known = [], [], [], []
         for k, i, d, low, o in zip(*columns.values(), strict=True):
@@ -134,7 +164,7 @@ def shared_anchors(documents: DataFrame, length: int) -> DataFrame:
         ids, digests, keys, known = ids[order], digests[order], keys[order], known[order]
         start = buckets.runs(keys)
         lasts = np.concatenate([start[1:], [len(keys)]]) - 1
-        shared = np.repeat(digests[start] != digests[lasts], lasts - start + 1) | known
+        shared = np.repeat((digests[start] != digests[lasts]) | np.logical_or.reduceat(known, start), lasts - start + 1)
         ids, keys = ids[shared], buckets.whole(bucket, keys[shared], bits)
         order = np.argsort(ids, kind="stable")
         ids, keys = ids[order], keys[order]

@@ -64,6 +64,24 @@ def test_a_chunk_of_copies_alone(spark):
         assert got == brute(rows)
 
 
+def test_a_frequent_anchor_is_sent_once_per_chunk():
+    """A passage of many texts and copies of one text send each k-gram to its bucket once; the texts that share it are all named."""
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, copy = text(150), text(300)
+    texts = [*(text(60) + passage + text(60) for _ in range(40)), *[copy] * 40]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(80), pa.int64()), pa.array(texts)], names=["id", "text"])
+    sent, named = [], set()
+    for rows in suffixes._anchor_rows(iter([batch]), 50, 6):
+        for r in rows.to_pylist():
+            if r["bucket"] < 0:
+                named |= set(np.frombuffer(r["ids"], np.int64).tolist())
+            else:
+                sent += [(r["bucket"], int(k)) for k in np.frombuffer(r["keys"], "<u4")]
+                assert max(np.frombuffer(r["ids"], np.int64)) <= 40
+    assert len(sent) == len(set(sent)) and named == set(range(40))
+
+
 @pytest.mark.parametrize("width,count", [(4, 1), (6, 3), (50, 9), (3, 16)])
 def test_merge_of_front_coded_runs(width, count):
     rng = np.random.default_rng(width)
