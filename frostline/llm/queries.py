@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact, near, packing, passages, quality, suffixes, toxicity, urls
+from . import chat, decontamination, exact, lexical, near, packing, passages, quality, spelling, suffixes, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -131,3 +131,35 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_repeated_strings")
 def op10_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, folder, "documents"))
+
+
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"), altered=spelling.one_in_97)
+
+
+_SEARCH = r"""
+with t as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\x{80}-\x{10FFFF}]+') as v from documents
+), q as (
+  select item_id, term, count(*) as k from (select item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) as term from benchmark) group by all
+), s as (select count(*) as nn, cast(sum(len(v)) as bigint) as ll from t where len(v) > 0
+), f as (
+  select r, doc_id, n, term, count(*) as tf from (select r, doc_id, len(v) as n, unnest(v) as term from t)
+  where term in (select term from q) group by all
+), w as (select term, cast(floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1))) as bigint) as w from f, s group by term
+), c as (
+  select item_id, r, doc_id, cast(sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * nn) // ll)))) as bigint) as score
+  from q join w using (term) join f using (term), s group by item_id, r, doc_id
+)
+select item_id, cast(rank as integer) as rank, doc_id, score from (
+  select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from c where score > 0
+) where rank <= 20
+"""
+
+
+@query("op12_ranked_search", _SEARCH)
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
