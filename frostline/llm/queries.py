@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact, lexical, near, packing, passages, quality, spelling, suffixes, toxicity, urls
+from . import chat, decontamination, exact, lexical, near, packing, passages, private, quality, spelling, suffixes, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -163,3 +163,8 @@ select item_id, cast(rank as integer) as rank, doc_id, score from (
 @query("op12_ranked_search", _SEARCH)
 def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_personal_data")
+def op13_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return private.personal_data(table(spark, folder, "documents"))

@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 13)} == {q.split("_")[0] for q in names if q.startswith("op") and q[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in names if q.startswith("op") and q[2].isdigit()}
     assert "pipeline" in names and set(entry.oracle_sql()) <= names
 
 
