@@ -89,12 +89,17 @@ def risk_summary(scored: DataFrame) -> DataFrame:
     )
 
 
-def risk_level(score: Column, failed: Column, hours: Column) -> Column:
-    """Level from the score, lifted by a cooling failure and by a short time to failure."""
-    base = (
+def base_level(score: Column) -> Column:
+    """Level from the score alone."""
+    return (
         F.when(score < LOW_BELOW, "low").when(score < MODERATE_BELOW, "moderate")
         .when(score < HIGH_BELOW, "high").otherwise("critical")
     )
+
+
+def risk_level(score: Column, failed: Column, hours: Column) -> Column:
+    """Level from the score, lifted by a cooling failure and by a short time to failure."""
+    base = base_level(score)
     lifted = F.when(failed & (base == "low"), "moderate").when(failed & (base == "moderate"), "high").otherwise(base)
     return (
         F.when(hours <= 1.0, "critical")
