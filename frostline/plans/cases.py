@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import round_to
 from ..operators import exposure
-from ..operators.asof import distinct_readings, match_latest
+from ..operators.asof import match_latest
 from ..operators.risk import analyse
 from ..session import materialise
 from .condition import EXPOSED
@@ -90,10 +90,9 @@ def match(t: Tables, age: int = TELEMETRY_AGE, wait: int = PREDICTION_WAIT) -> D
     Only the reading's id and time take part in the matching. Of predictions with one
     time the first counts, so a repeated one makes no second decision.
     """
-    predictions = distinct_readings(t.prediction, ["asset_id", "ts"], ["prediction_id"])
     readings = t.telemetry.select("asset_id", "event_id", "ts")
     pairs = match_latest(
-        predictions, readings, "asset_id", left_order="prediction_id", right_order="event_id", max_age_s=age, wait_s=wait
+        t.prediction, readings, "asset_id", left_order="prediction_id", right_order="event_id", max_age_s=age, wait_s=wait, once=True
     ).filter(F.col("right").isNotNull())
     return pairs.select(
         "left.asset_id",

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.numeric import failure_hours, round_to
-from ..operators import exposure
+from ..operators import exposure, hourly, running
 from .registry import query, rounded
 from .tables import Tables
 
@@ -120,3 +121,33 @@ def clock_hour_exposure(t: Tables) -> DataFrame:
 )
 def time_to_failure(t: Tables) -> DataFrame:
     return t.prediction.select("asset_id", "prediction_id", failure_hours("predicted_risk_proxy").alias("hours"))
+
+
+# Minutes that a reading stands for at most, and those of an asset's first.
+LONGEST, FIRST = 20, 5
+
+
+@query(
+    "uneven_out_of_range",
+    f"""with {SCORED}, steps as (
+     select asset_id, event_id, ts, row_number() over w as no,
+      coalesce(least({LONGEST * 60_000_000}, epoch_us(ts) - epoch_us(lag(ts) over w)), {FIRST * 60_000_000}) as step,
+      20 * cast(temp_excess > 0 as bigint) + 5 * cast(humidity_excess > 0 as bigint) + 4 * cast(door_open as bigint) as units
+     from scored window w as (partition by asset_id order by ts, event_id))
+    select asset_id, event_id, ts, {rounded('cast(done as double) / 1200000000.0', 4)} as out_of_range_minutes_in_hour from (
+     with recursive c as (
+      select asset_id, event_id, ts, no, step as hour, units * step as done from steps where no = 1
+      union all
+      select s.asset_id, s.event_id, s.ts, s.no, case when c.hour + s.step >= {hourly.HOUR} then 0 else c.hour + s.step end,
+       case when c.hour + s.step >= {hourly.HOUR} then 0 else c.done end + s.units * s.step
+      from c join steps s on s.asset_id = c.asset_id and s.no = c.no + 1)
+     select * from c)""",
+)
+def uneven_out_of_range(t: Tables) -> DataFrame:
+    """The hourly counter over the readings as they come, each standing for the time since the one before it."""
+    scored = exposure.excess(exposure.with_profile(t.telemetry, t.profiles)).withColumn("units", exposure.out_of_range_units())
+    rows = running.running(scored.select(*KEY_COLUMNS, "units"), "asset_id", ["ts", "event_id"], {}, previous={"before": "ts"})
+    gap = F.unix_micros("ts") - F.unix_micros("before")
+    step = F.coalesce(F.least(F.lit(LONGEST * 60_000_000), gap), F.lit(FIRST * 60_000_000))
+    counted = hourly.hourly_counter(rows, "asset_id", ["ts", "event_id"], step, F.col("units"), "done")
+    return counted.select(*KEY_COLUMNS, round_to(F.col("done") / 1_200_000_000.0, 4).alias("out_of_range_minutes_in_hour"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_to
-from ..operators import dashboard, latest
-from ..operators.asof import distinct_readings, match_latest
+from ..operators import asof, dashboard, latest
+from ..operators.asof import distinct_readings
 from ..sources import messages as msg
-from .cases import DECISION_MATCH, MATCHED, match
+from .cases import DECISION_MATCH, MATCHED, PREDICTION_WAIT, TELEMETRY_AGE, match
 from .decide import DECIDED, decision_table
 from .fleet import LATEST, RISK, SUMMARY
 from .registry import query, rounded
@@ -153,13 +153,32 @@ def decided_at(t: Tables) -> DataFrame:
     from explained e asof left join (select * from numbered where rn = 1) d on e.asset_id = d.asset_id and e.matched_ts >= d.decision_ts""",
 )
 def three_way_asof(t: Tables) -> DataFrame:
-    """Prediction and reading required, decision optional."""
-    explained = match(t, EXPLAIN_AGE, EXPLAIN_AGE).select("asset_id", "prediction_id", "event_id", "matched_ts")
-    pairs = match_latest(
-        explained, decided_at(t).drop("event_id"), "asset_id", left_ts="matched_ts", right_ts="decision_ts",
-        left_order="prediction_id", right_order="decision_no", max_age_s=EXPLAIN_AGE,
+    """Prediction and reading required, decision optional.
+
+    One pass over readings and predictions gives each prediction's reading for the decision and for the explanation; both go
+    on as one flow, in which the newest decision at an explanation's time is found.
+    """
+    readings = t.telemetry.select("asset_id", "event_id", "ts")
+    flow = asof.flow_of(
+        asof.tagged(t.prediction.select("asset_id", "prediction_id", "ts"), asof.LEFT, "asset_id", order="prediction_id"),
+        asof.tagged(readings, asof.RIGHT, "asset_id", order="event_id"),
+    )
+    rows = asof.with_neighbours(flow, max(TELEMETRY_AGE, PREDICTION_WAIT, EXPLAIN_AGE), [asof.RIGHT], True, asof.LEFT).filter(F.col("_kind") == asof.LEFT)
+
+    def one(kind: int, matched: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("_kind"), F.greatest(F.col("_ts"), matched["ts"]).alias("_ts"), matched["event_id"].alias("event_id"), F.col("_order").alias("_order"),
+        )
+
+    decided, explained = asof.met(TELEMETRY_AGE, PREDICTION_WAIT)[0], asof.met(EXPLAIN_AGE, EXPLAIN_AGE)[0]
+    found = rows.select("_key", F.explode(F.array(one(asof.RIGHT, decided), one(asof.LEFT, explained))).alias("m")).select("_key", "m.*").filter("event_id is not null")
+    row = lambda kind, *columns: F.when(F.col("_kind") == kind, F.struct(*columns)).alias(f"row{kind}")
+    both = found.select("_key", "_ts", "_order", "_kind", row(asof.RIGHT, F.col("_order").alias("decision_no")), row(asof.LEFT, "event_id"))
+    pairs = asof.with_neighbours(both, EXPLAIN_AGE, [asof.RIGHT]).filter(F.col("_kind") == asof.LEFT)
+    return pairs.select(
+        F.col("_key").alias("asset_id"), F.col("_order").alias("prediction_id"), f"row{asof.LEFT}.event_id", F.col("_ts").alias("matched_ts"),
+        asof.met(EXPLAIN_AGE, None)[0]["decision_no"].alias("decision_no"),
     )
-    return pairs.select("left.*", F.col("right.decision_no").alias("decision_no"))
 
 
 LATE = "(decision_no * 53) % 3600"
@@ -183,19 +202,19 @@ def decision_enrichment(t: Tables) -> DataFrame:
     late = decided_at(t).select(
         "asset_id", "decision_no", F.col("event_id").alias("own_reading"), (F.col("decision_ts") + delay).alias("decision_ts")
     )
-    with_reading = match_latest(
-        late, t.telemetry.select("asset_id", "event_id", "ts"), "asset_id", left_ts="decision_ts", left_order="decision_no",
-        right_order="event_id", max_age_s=EXPLAIN_AGE,
-    ).select("left.*", F.col("right.event_id").alias("cached"))
-    both = match_latest(
-        with_reading, t.prediction.select("asset_id", "prediction_id", "ts"), "asset_id", left_ts="decision_ts",
-        left_order="decision_no", right_order="prediction_id", max_age_s=EXPLAIN_AGE,
+    decision, prediction, reading = 2, 1, 0
+    flow = asof.flow_of(
+        asof.tagged(t.telemetry.select("asset_id", "event_id", "ts"), reading, "asset_id", order="event_id"),
+        asof.tagged(t.prediction.select("asset_id", "prediction_id", "ts"), prediction, "asset_id", order="prediction_id"),
+        asof.tagged(late, decision, "asset_id", "decision_ts", "decision_no"),
     )
-    return both.select(
-        "left.asset_id", "left.decision_no", "left.decision_ts",
-        F.coalesce("left.cached", "left.own_reading").alias("event_id"),
-        F.coalesce("right.prediction_id", "left.decision_no").alias("prediction_id"),
-        F.col("left.cached").isNotNull().alias("cached_reading"),
+    rows = asof.with_neighbours(flow, EXPLAIN_AGE, [reading, prediction]).filter(F.col("_kind") == decision)
+    cached, known = asof.met(EXPLAIN_AGE, None, reading)[0], asof.met(EXPLAIN_AGE, None, prediction)[0]
+    return rows.select(
+        f"row{decision}.asset_id", f"row{decision}.decision_no", f"row{decision}.decision_ts",
+        F.coalesce(cached["event_id"], F.col(f"row{decision}.own_reading")).alias("event_id"),
+        F.coalesce(known["prediction_id"], F.col(f"row{decision}.decision_no")).alias("prediction_id"),
+        cached["event_id"].isNotNull().alias("cached_reading"),
     ).filter(F.col("event_id").isNotNull())
 
 
