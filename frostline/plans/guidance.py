@@ -11,8 +11,9 @@ from ..data.profiles import CARGO_TYPES
 from ..functions import text
 from ..functions.numeric import round_to
 from ..operators import explain, retrieval
-from ..session import materialise
+from ..session import materialise, work_path
 from ..sources import guidance
+from ..sources.leveled import LeveledTable
 from .decide import DECIDED, decided
 from .registry import query, rounded
 from .tables import Tables
@@ -109,15 +110,29 @@ def doc_ids(t: Tables) -> DataFrame:
     select id, category, version, n_chars from loaded qualify row_number() over (partition by id order by version desc) = 1""",
 )
 def corpus_upsert(t: Tables) -> DataFrame:
-    """Documents loaded twice, the labelled version replacing the first."""
-    from ..operators.latest import last_wins
+    """Documents loaded twice into the stored corpus, the labelled version replacing the first."""
+    return loaded_corpus(t).read()
 
+
+def loaded_corpus(t: Tables) -> LeveledTable:
     d = t.read("documents")
     first = d.select(F.concat(F.lit("doc-"), "doc_id").alias("id"), F.col("lang").alias("category"), F.lit(1).alias("version"), "n_chars")
     second = d.join(t.read("labels"), "doc_id").select(
         F.concat(F.lit("doc-"), "doc_id").alias("id"), F.concat(F.lit("label-"), "quality").alias("category"), F.lit(2).alias("version"), "n_chars"
     )
-    return last_wins(first.unionByName(second), ["id"], ["version"])
+    table = LeveledTable(t.spark, work_path(t.spark, "corpus"), ["id"], ["version"])
+    table.write(first, 0)
+    table.write(second, 1)
+    return table
+
+
+@query(
+    "corpus_changes",
+    "select 'doc-' || d.doc_id as id, 'label-' || l.quality as category, 2 as version, d.n_chars, cast(1 as bigint) as batch from documents d join labels l on d.doc_id = l.doc_id",
+)
+def corpus_changes(t: Tables) -> DataFrame:
+    """What the second load of the corpus changed, as its feed gives it."""
+    return loaded_corpus(t).changes(0)
 
 
 @query(
