@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..data.profiles import CARGO_TYPES
 from ..functions import text
 from ..functions.numeric import round_to
-from ..operators import explain, retrieval
+from ..operators import decisions, explain, retrieval
+from ..operators.running import numbered_rows
 from ..session import materialise, work_path
-from ..sources import guidance
+from ..sources import guidance, messages
 from ..sources.leveled import LeveledTable
 from .decide import DECIDED, decided
 from .registry import query, rounded
@@ -27,15 +28,15 @@ def _builtin_sql() -> str:
     """The built-in documents for the check: fixed rows and the cargo template."""
     rows = [json.loads(line) for line in (guidance.DATA / "guidance_documents.jsonl").read_text(encoding="utf-8").splitlines()]
     notes = json.loads((guidance.DATA / "cargo_notes.json").read_text(encoding="utf-8"))
-    values = [(r["id"], r["title"], r["content"], r["source"], r["category"], r["cargo_type"]) for r in rows]
+    values = [(r["id"], r["title"], r["content"], r["source"], r["category"], r["cargo_type"], r["document_type"]) for r in rows]
     for cargo in (c.replace("_", "") for c in CARGO_TYPES):
         shown = text.CARGO_DISPLAY_NAMES.get(cargo, cargo.capitalize())
         values.append((
             f"sop-cargo-{cargo}", guidance.CARGO_TITLE % shown, guidance.CARGO_CONTENT % (notes[cargo], shown),
-            "Internal Cargo Policy", "cargo", cargo,
+            "Internal Cargo Policy", "cargo", cargo, "profile",
         ))
     body = ",\n".join("(" + ", ".join(_quoted(v) for v in row) + ")" for row in values)
-    return f"builtin(id, title, content, source, category, cargo_type) as (values {body})"
+    return f"builtin(id, title, content, source, category, cargo_type, document_type) as (values {body})"
 
 
 TITLE = """
@@ -266,9 +267,7 @@ def corpus_texts(t: Tables) -> DataFrame:
     return guidance.prepared(corpus(t))
 
 
-@query(
-    "text_topk",
-    f"""with {URGENT}, {QUERY_TEXT}, {_builtin_sql()}, {EXTERNAL},
+FOUND = f"""{QUERY_TEXT}, {_builtin_sql()}, {EXTERNAL},
     texts as (select id as doc_id, title || chr(10) || chr(10) || content as text from builtin union all select id, title || chr(10) || chr(10) || content from external),
     asked_words as (select distinct array_to_string(list_sort(regexp_extract_all(lower(retrieval_query), '\\p{{L}}+')), ' ') as query_id from asked),
     counts as (select doc_id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) as term from texts) group by all),
@@ -279,10 +278,13 @@ def corpus_texts(t: Tables) -> DataFrame:
     query_weights as (select query_id, term, tf * idf as w from query_counts join weights using (term)),
     query_norms as (select query_id, sqrt(sum(w * w)) as norm from query_weights group by query_id),
     dots as (select q.query_id, d.doc_id, sum(q.w * d.w) as dot from query_weights q join doc_weights d using (term) group by all),
-    text_scored as (select query_id, doc_id, {rounded('1.0 - dot / (qn.norm * dn.norm)', 6)} as distance from dots join query_norms qn using (query_id) join doc_norms dn using (doc_id))
-    select md5(query_id) as query_id, doc_id, distance, cast(row_number() over (partition by query_id order by distance, doc_id) as integer) as rank from text_scored
-    qualify row_number() over (partition by query_id order by distance, doc_id) <= {TOP_DOCUMENTS}""",
-)
+    text_scored as (select query_id, doc_id, {rounded('1.0 - dot / (qn.norm * dn.norm)', 6)} as distance from dots join query_norms qn using (query_id) join doc_norms dn using (doc_id)),
+    found as (
+     select query_id, doc_id, distance, cast(row_number() over (partition by query_id order by distance, doc_id) as integer) as rank from text_scored
+     qualify row_number() over (partition by query_id order by distance, doc_id) <= {TOP_DOCUMENTS})"""
+
+
+@query("text_topk", f"with {URGENT}, {FOUND} select md5(query_id) as query_id, doc_id, distance, rank from found")
 def text_topk(t: Tables) -> DataFrame:
     """Best documents for the retrieval queries of all decisions."""
     cases = explain.retrieval_query(urgent_decided(t))
@@ -305,7 +307,29 @@ def explained_cases(t: Tables) -> DataFrame:
     return joined.withColumn("sop_ids", F.transform(F.coalesce("sops", F.array()), lambda d: d["id"])).drop("query_id")
 
 
-@query("explanations_with_documents")
+SIGNATURE = "array_to_string(list_sort(regexp_extract_all(lower(retrieval_query), '\\p{L}+')), ' ')"
+
+SHOWN = f"""{FOUND}, {EXPLAINED},
+    documents_of as (select id, title || chr(10) || chr(10) || content as text, source, category, document_type as type from builtin union all
+     select id, title || chr(10) || chr(10) || content, source, category, 'sop' from external),
+    sops as (
+     select query_id, string_agg(doc_id, ', ' order by rank) as ids, string_agg(doc_id, '|' order by rank) as piped, count(*) as n,
+      string_agg(doc_id, ', ' order by rank) filter (rank <= greatest(2, (select max(rank) from found f where f.query_id = found.query_id) - 1)) as few
+     from found group by query_id),
+    numbered as (select asset_id, prediction_id, 'DECISION_' || lpad(cast(row_number() over (order by matched_ts, asset_id, prediction_id) as varchar), 6, '0') as decision_id from taken),
+    shown as (
+     select a.*, n.decision_id, e.explanation || coalesce(' Relevant SOPs: ' || s.ids || '.', '') as risk_text, coalesce(s.piped, '') as sop_ids, s.ids, s.few,
+      'The autonomous system treated this case as ' || a.risk_level || ' risk and selected ' || e.acts
+       || ' based on the current telemetry, predicted spoilage trend, and operating scenario. These actions align with the retrieved SOP guidance, especially ' as decision_text
+     from asked a join explained e on a.asset_id = e.asset_id and a.prediction_id = e.prediction_id
+     join numbered n on a.asset_id = n.asset_id and a.prediction_id = n.prediction_id left join sops s on s.query_id = {SIGNATURE})"""
+
+
+@query(
+    "explanations_with_documents",
+    f"""with {URGENT}, {SHOWN} select asset_id, prediction_id, {rounded('combined_score', 3)} as risk_score, urgency, risk_text as explanation,
+    decision_text || coalesce(ids, 'no matched SOP IDs') || '.' as decision_explanation, sop_ids, retrieval_query from shown""",
+)
 def explanations_with_documents(t: Tables) -> DataFrame:
     shown = explain.decision_explanation(explain.risk_explanation(explained_cases(t)))
     return shown.select(
@@ -314,6 +338,74 @@ def explanations_with_documents(t: Tables) -> DataFrame:
     )
 
 
+def recorded(t: Tables) -> DataFrame:
+    """Explained cases with the number of their decision."""
+    shown = explain.risk_explanation(explained_cases(t))
+    return numbered_rows(shown, decisions.DECISION_ORDER, "decision_no").withColumn("decision_id", decisions.numbered("DECISION_", F.col("decision_no")))
+
+
+def parsed(value: str, path: str) -> Column:
+    return F.get_json_object(value, f"$.{path}")
+
+
+RECORD = f"""asset_id, decision_id, urgency, {rounded('combined_score', 3)} as risk_score, matched_ts as ts, retrieval_query, sop_ids,
+    temperature as snapshot_temperature, scenario as snapshot_scenario, temp_degree_minutes as snapshot_degree_minutes, risk_level as snapshot_level,
+    predicted_score as snapshot_predicted, ts as snapshot_ts, 'rag-service-1' as service, 'coldchain' as prefix"""
+
+
+def received_records(made: DataFrame, kind: str, text_name: str) -> DataFrame:
+    """Records sent as messages and read back from their JSON."""
+    sent = messages.publish(made, f"{kind}s", metadata=messages.service_metadata(kind, "rag-service-1", "ts"))
+    v = "value"
+    return sent.select(
+        parsed(v, "asset_id").alias("asset_id"), parsed(v, "decision_id").alias("decision_id"), parsed(v, "urgency").alias("urgency"),
+        parsed(v, "risk_score").cast("double").alias("risk_score"), parsed(v, "ts").cast("timestamp").alias("ts"),
+        parsed(v, "retrieval_query").alias("retrieval_query"), parsed(v, "explanation_text").alias(text_name),
+        F.array_join(F.from_json(parsed(v, "referenced_sops"), "array<string>"), "|").alias("sop_ids"),
+        F.array_join(F.from_json(parsed(v, "sop_details[*].id"), "array<string>"), "|").alias("detail_ids"),
+        parsed(v, "telemetry_snapshot.temperature").cast("double").alias("snapshot_temperature"), parsed(v, "telemetry_snapshot.scenario").alias("snapshot_scenario"),
+        parsed(v, "telemetry_snapshot.cumulative_exposure.temp_degree_minutes").cast("double").alias("snapshot_degree_minutes"),
+        parsed(v, "decision_snapshot.analysis.risk_level").alias("snapshot_level"),
+        parsed(v, "prediction_snapshot.predicted_risk_proxy").cast("double").alias("snapshot_predicted"),
+        parsed(v, "telemetry_snapshot.ts").cast("timestamp").alias("snapshot_ts"),
+        parsed(v, "ragservicemetadata.serviceid").alias("service"), parsed(v, "ragservicemetadata.mqttprefix").alias("prefix"),
+        parsed(v, "explanation_id").alias("explanation_id"), parsed(v, "prediction_timestamp").cast("timestamp").alias("prediction_timestamp"),
+    )
+
+
+@query(
+    "explanation_records",
+    f"""with {URGENT}, {SHOWN} select {RECORD}, risk_text as explanation_text, sop_ids as detail_ids,
+    'EXP-' || (epoch_us(matched_ts) // 1000) as explanation_id, prediction_ts as prediction_timestamp from shown""",
+)
+def explanation_records(t: Tables) -> DataFrame:
+    """Whole explanation records as they are published and received."""
+    return received_records(explain.explanation_records(recorded(t)), "prediction-explanation", "explanation_text")
+
+
+@query(
+    "decision_explanation_records",
+    f"""with {URGENT}, {SHOWN} select {RECORD.replace('sop_ids', "coalesce(replace(few, ', ', '|'), '') as sop_ids")}, decision_text || coalesce(few, 'no matched SOP IDs') || '.' as explanation_text,
+    coalesce(replace(few, ', ', '|'), '') as detail_ids from shown""",
+)
+def decision_explanation_records(t: Tables) -> DataFrame:
+    """Whole justifications of decisions as they are published and received."""
+    made = received_records(explain.decision_explanation_records(recorded(t)), "decision-explanation", "explanation_text")
+    return made.drop("explanation_id", "prediction_timestamp")
+
+
+@query(
+    "sop_context",
+    f"""with {URGENT}, {SHOWN} select md5(query_id) as query_id, string_agg('[' || id || '] ' || regexp_replace(text, '^ +| +$', '', 'g') || ' (source=' || source || ', category=' || category
+     || ', type=' || type || ')', chr(10) order by rank) as context from found join documents_of on id = doc_id group by query_id""",
+)
+def sop_context(t: Tables) -> DataFrame:
+    """The block of guidance that goes into the prompts, for each distinct query."""
+    cases = explained_cases(t).filter(F.size("sops") > 0)
+    shown = cases.select(F.md5(retrieval.signature("retrieval_query")).alias("query_id"), explain.sop_context("sops").alias("context"))
+    return shown.groupBy("query_id").agg(F.min("context").alias("context"))
+
+
 @query("prompt_table")
 def prompt_table(t: Tables) -> DataFrame:
     return explain.prompts(explained_cases(t)).select(

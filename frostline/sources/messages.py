@@ -162,6 +162,7 @@ def normalise_prediction(df: DataFrame, doc: str = "doc") -> DataFrame:
     raw = _texts(df, doc, {
         "asset": ASSET_FIELDS, "time": TIME_FIELDS, "predicted": PREDICTED_FIELDS, "actual": ACTUAL_FIELDS,
         "confidence": ("confidence", "predictionconfidence"), "hours": FAILURE_FIELDS,
+        "temperature": ("currenttemp", "temperature"), "humidity": ("currenthumidity", "humidity"),
     })
     raw = raw.withColumns({
         "predicted_risk_proxy": unit(number("_predicted")), "actual_risk_proxy": unit(number("_actual")), "_hours": number("_hours", -1.0),
@@ -177,6 +178,8 @@ def normalise_prediction(df: DataFrame, doc: str = "doc") -> DataFrame:
         unit(number("_confidence")).alias("confidence"),
         # No value at all and an unreadable one both mean unknown.
         F.when(F.col("_hours") >= 0, F.col("_hours")).alias("time_to_failure_hours"),
+        number("_temperature").alias("current_temp"),
+        number("_humidity").alias("current_humidity"),
     )
 
 
@@ -193,7 +196,10 @@ ACTION_DEFAULTS = {"type": "unknown", "priority": "medium"}
 
 
 def normalise_decision(df: DataFrame, doc: str = "doc") -> DataFrame:
-    """Analysis fields and the list of actions; entries that are no objects are dropped."""
+    """Analysis fields, the list of actions, what came of them, and the reading and prediction that go along.
+
+    Entries of the lists that are no objects are dropped; ``telemetry_doc`` and ``prediction_doc`` are documents of their own, empty where there is none.
+    """
     analysis, actions = F.col("_analysis"), F.from_json(F.col(doc)["actions"], "array<string>")
     objects = F.filter(actions, lambda a: F.ltrim(a).startswith("{"))
 
@@ -233,9 +239,27 @@ def normalise_decision(df: DataFrame, doc: str = "doc") -> DataFrame:
         F.coalesce(F.transform(objects, one), F.array().cast(
             "array<struct<type:string,description:string,priority:string,tool:string,action:string,target_dc:string,"
             "dc_name:string,eta_hours:double,benefit_score:double>>")).alias("actions"),
+        F.coalesce(
+            F.filter(F.from_json(field(doc, ("executionresults", "execution_results")), "array<string>"), lambda r: F.ltrim(r).startswith("{")),
+            F.array().cast("array<string>"),
+        ).alias("execution_results"),
+        *[F.coalesce(F.from_json(F.col(doc)[name], OBJECT), F.create_map().cast(OBJECT)).alias(f"{name}_doc") for name in ("telemetry", "prediction")],
     )
 
 
+def cached_or_carried(decisions: DataFrame, telemetry: DataFrame, prediction: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(readings, predictions), normalised, of decisions: the cached one of the asset, else the one that the decision carries.
+
+    ``telemetry`` and ``prediction`` have ``decision_id`` and ``doc``; a decision that neither side knows has a document of defaults.
+    """
+    def one(cached: DataFrame, name: str, normalise) -> DataFrame:
+        found = cached.select("decision_id", F.col("doc").alias("_cached"))
+        joined = decisions.select("decision_id", "asset_id", F.col(f"{name}_doc").alias("_carried")).join(found, "decision_id", "left")
+        return normalise(joined.select("decision_id", "asset_id", F.coalesce("_cached", "_carried").alias("doc"), F.col("_cached").isNotNull().alias("cached")))
+
+    return one(telemetry, "telemetry", normalise_telemetry), one(prediction, "prediction", normalise_prediction)
+
+
 def complete_prediction(df: DataFrame) -> DataFrame:
     """Fill ``risk_score``, ``predicted_risk_proxy`` and ``time_to_failure_hours`` of raw predictions where absent."""
     from ..functions.values import risk_score
@@ -258,9 +282,18 @@ def topic_of(kind: str, asset: str = "asset_id", prefix: str = PREFIX) -> Column
     return F.concat_ws("/", F.lit(prefix), F.lit(kind), F.col(asset))
 
 
-def publish(df: DataFrame, kind: str, asset: str = "asset_id", prefix: str = PREFIX) -> DataFrame:
-    """Rows as messages: one JSON object per row on the topic of its asset."""
-    return df.select(topic_of(kind, asset, prefix).alias("topic"), F.to_json(F.struct(*df.columns), JSON_OPTIONS).alias("value"))
+def publish(df: DataFrame, kind: str, asset: str = "asset_id", prefix: str = PREFIX, metadata: Column | None = None) -> DataFrame:
+    """Rows as messages: one JSON object per row on the topic of its asset, with the service's ``metadata`` if it is given."""
+    extra = [] if metadata is None else [metadata.alias("ragservicemetadata")]
+    return df.select(topic_of(kind, asset, prefix).alias("topic"), F.to_json(F.struct(*df.columns, *extra), JSON_OPTIONS).alias("value"))
+
+
+def service_metadata(kind: str, service: str, ts: Column | str, asset: str = "asset_id", prefix: str = PREFIX) -> Column:
+    """What a service says of itself in each message."""
+    return F.struct(
+        F.lit(kind).alias("kind"), F.lit(service).alias("serviceid"), (F.col(ts) if isinstance(ts, str) else ts).alias("timestamp"),
+        F.col(asset).alias("assetid"), F.lit(prefix).alias("mqttprefix"),
+    )
 
 
 def fleet_messages(
