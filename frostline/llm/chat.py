@@ -61,6 +61,22 @@ LAYOUTS = (
 )
 MAPPINGS = {fingerprint(x["paths"]): x for x in LAYOUTS}
 _KNOWN = set().union(*(x["paths"] for x in LAYOUTS))
+#: The layout selected for each fingerprint seen; there are no more of them than sets of known fields.
+_SELECTED = {key: (key, x) for key, x in MAPPINGS.items()}
+
+
+def mapping_of(paths: set[str]) -> tuple[str | None, dict | None]:
+    """Fingerprint and mapping of the layout of a record with these paths.
+
+    Where none has just these, it is the one with most of them that needs no others; fields of other layouts are then extra ones.
+    """
+    known = paths & _KNOWN
+    key = fingerprint(known)
+    if key not in _SELECTED:
+        fits = [x for x in LAYOUTS if x["paths"] <= known]
+        best = max(fits, key=lambda x: len(x["paths"]), default=None)
+        _SELECTED[key] = (None, None) if best is None else (fingerprint(best["paths"]), best)
+    return _SELECTED[key]
 
 
 def _text(value: object) -> str:
@@ -78,8 +94,7 @@ def turns_of(record: str | None) -> tuple[str | None, list[tuple[str, str]]]:
         return None, []
     if not isinstance(value, dict):
         return None, []
-    key = fingerprint(field_paths(value) & _KNOWN)
-    mapping = MAPPINGS.get(key)
+    key, mapping = mapping_of(field_paths(value))
     if mapping is None:
         return None, []
     if "turns" in mapping:
@@ -94,6 +109,9 @@ def turns_of(record: str | None) -> tuple[str | None, list[tuple[str, str]]]:
                 pairs.append((role, text))
     else:
         pairs = [(value[mapping["role"]], value[mapping["text"]])]
+    if "system" in value and ".system" not in mapping["paths"]:
+        # Instructions beside the turns come before them.
+        pairs.insert(0, ("system", value["system"]))
     return key, [(ROLES.get(_text(role), _text(role)), _text(text)) for role, text in pairs]
 
 
@@ -102,7 +120,8 @@ def canonical_turns(records: DataFrame, record: str = "record", keys: tuple[str,
 
     A record that is null, no JSON object or of an unknown layout gives one row with null
     fingerprint, part, role and text. Null texts and roles are empty strings; values that are not
-    strings are written as JSON. Fields that no layout names do not matter.
+    strings are written as JSON. Fields that no layout names do not matter. A record with fields of several layouts has the layout that takes
+    most of them; a ``system`` field beside turns is a turn before them.
     """
     fields = records.select(*keys).schema.fields
 

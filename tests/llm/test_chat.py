@@ -30,6 +30,26 @@ def test_layouts_become_the_same_turns():
         assert chat.turns_of(bad) == (None, [])
 
 
+def test_fields_of_several_layouts():
+    """The layout that takes most fields is selected; a system field is never lost."""
+    said = [{"role": "user", "content": "hello"}, {"role": "assistant", "content": "hi"}]
+    turns = [("user", "hello"), ("assistant", "hi")]
+    assert chat.turns_of(json.dumps({"messages": said, "system": "s"})) == (chat.fingerprint(chat.LAYOUTS[0]["paths"]), [("system", "s"), *turns])
+    assert chat.turns_of(json.dumps({"messages": said, "prompt": "x"}))[1] == turns
+    assert chat.turns_of(json.dumps({"prompt": "p", "response": "r", "context": "c", "system": "s"}))[1] == [("system", "s"), ("user", "p"), ("assistant", "r")]
+    assert chat.turns_of(json.dumps({"instruction": "i", "input": "n", "output": "o", "response": "r"}))[1] == [("user", "i\n\nn"), ("assistant", "o")]
+    assert chat.turns_of(json.dumps({"question": "q", "answer": "a", "system": None}))[1] == [("system", ""), ("user", "q"), ("assistant", "a")]
+    assert chat.turns_of(json.dumps({"prompt": "p", "system": "s", "input": "n"})) == (None, [])
+
+
+def test_very_long_conversations_and_texts(spark):
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"{i} <|im_end|>") for i in range(20_000)] + [(2, 0, "assistant", "x<|" * 300_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: r for r in chat.digests(chat.format_turns(chat.canonical_turns(df.selectExpr("*", "to_json(struct(role, text)) as record")))).collect()}
+    assert found[1].n_turns == 20_000 and found[1].loss_chars == sum(len(r[3]) for r in rows[:20_000] if r[2] == "assistant")
+    assert found[2].loss_sha256 == hashlib.sha256(("x<|" * 300_000).encode()).hexdigest()
+
+
 def test_conversations(spark):
     rows = [(1, 0, "user", "a<|im_end|>"), (1, 1, "assistant", None), (1, 1, "assistant", None), (1, 2, None, "x"), (2, None, "assistant", "ü\n"), (2, 5, "assistant", "<\\|"), (None, 0, "user", "q")]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id long, turn long, role string, text string, part string, fingerprint long")
