@@ -52,6 +52,28 @@ def test_overlaps_against_all_places(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in found}
 
 
+def test_passages_across_the_borders_of_segments(spark):
+    """Passages of several lengths, edited, at every place around the borders of a long text's pieces."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(3000)}"
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([9, 13, 20, 59])]
+    docs = []
+    for i in range(60):
+        own = [word() for _ in range(3 * decontamination.SEGMENT)]
+        passage = words(items[i % 4][1])
+        for _ in range(i % 3 if len(passage) > 9 else i % 2):
+            passage[rng.randrange(len(passage))] = word()
+        at = decontamination.SEGMENT * rng.choice([1, 2]) - rng.randrange(-3, len(passage) + 3)
+        docs.append((i, " ".join(own[:at] + passage + own[at:])))
+    docs.append((100, " ".join(word() for _ in range(60_000)) + " " + items[3][1]))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    rows = decontamination.contaminated(df, spark.createDataFrame([(k, t, "a", "b") for k, t in items], ITEM)).collect()
+    found = {(r.doc_id, r.item_id) for r in rows}
+    assert found == brute(docs[:-1], items) | {(100, 3)} and len(found) >= 60
+    last = next(r for r in rows if r.doc_id == 100)
+    assert (last.first_word, last.end_word, last.matched) == (60_000, 60_059, 13)
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     rng = random.Random(2)
     items = [(k, " ".join(f"w{rng.randrange(500)}" for _ in range(25))) for k in range(10)]
