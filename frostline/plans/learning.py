@@ -198,18 +198,46 @@ def eval_metrics(t: Tables) -> DataFrame:
     )
 
 
-@query("risk_model")
+def _model_sql(penalty: float = 0.01) -> str:
+    """The model fitted in SQL: sums of products, elimination row by row, fitted values."""
+    whole = [f"round_even((r.{c} - s.mean_{c}) / case when s.std_{c} = 0 then 1 else s.std_{c} end * {features.UNITS}, 0)" for c in features.NUMERICS]
+    hot = [f"{features.UNITS} * cast(cargo_type = '{v}' as integer)" for v in CARGO_ORDER] + [f"{features.UNITS} * cast(scenario = '{v}' as integer)" for v in SCENARIO_ORDER]
+    width = len(whole) + len(hot)
+    stats = ", ".join(f"avg({c}) as mean_{c}, stddev_pop({c}) as std_{c}" for c in features.NUMERICS)
+    unit, n = 1.0 / features.UNITS, 2 * width + 1
+    sums, last = (", ".join(f"{f}(x[{i}]) over w" for i in range(1, width + 1)) for f in ("sum", "last"))
+    step = "list_transform(m, lambda r, i: case when i = k then list_transform(r, lambda v: v / m[k][k]) else list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) end)"
+    scaled = f"list_transform(v, lambda u, i: u * case when i = 1 then cast(1 as double) when i between {width + 2} and {n} then cast({unit / LENGTH!r} as double) else cast({unit!r} as double) end)"
+    return f"""with recursive {READINGS}, stats as (select {stats} from training),
+    whole as (select asset_id, event_id, ts, risk_proxy, list_transform([{", ".join([*whole, *hot])}], lambda u: cast(u as bigint)) as x from readings r, stats s),
+    framed as (select *, row_number() over (partition by asset_id order by ts, event_id) as position, [{last}] as last, [{sums}] as sums from whole window w as (partition by asset_id order by ts, event_id rows between {LENGTH} preceding and 1 preceding)),
+    rowed as (select asset_id, event_id, risk_proxy, epoch_us(ts) <= micros as train,
+     list_concat([cast(1 as hugeint)], list_transform(last, lambda u: cast(u as hugeint)), list_transform(sums, lambda u: cast(u as hugeint)), [cast(round_even(risk_proxy * {features.UNITS}, 0) as hugeint)]) as v
+     from framed, cutoff where position > {LENGTH}),
+    cells as (select event_id, unnest(v) as u, generate_subscripts(v, 1) as i from rowed where train),
+    unit as (select generate_subscripts(u, 1) as i, unnest(u) as s from (select {scaled.replace("v,", f"list_transform(range({n + 1}), lambda z: cast(1 as double)),", 1)} as u)),
+    gram as (select a.i, b.i as j, cast(sum(a.u * b.u) as double) as total from cells a join cells b on a.event_id = b.event_id where a.i <= {n} group by all),
+    sized as (select g.i, g.j, g.total * p.s * q.s + case when g.i = g.j and g.i > 1 then {penalty} * (select total from gram where i = 1 and j = 1) else 0 end as a
+     from gram g join unit p on g.i = p.i join unit q on g.j = q.i),
+    solved as (select 1 as k, (select list(a order by i) from (select i, list(a order by j) as a from sized group by i)) as m union all select k + 1, {step} from solved where k <= {n}),
+    weights as (select list_transform(m, lambda r: r[{n + 1}]) as w from solved where k = {n + 1}),
+    fitted as (select *, {rounded(f"least(1.0, greatest(0.0, list_dot_product(list_slice({scaled}, 1, {n}), w)))", 6)} as predicted_risk from rowed, weights)
+    select asset_id, event_id, risk_proxy, predicted_risk, {rounded('least(72.0, greatest(6.0, 72.0 - predicted_risk * 66.0))', 1)} as time_to_failure_hours,
+     case when train then 'train' else 'validation' end as part from fitted"""
+
+
+@query("risk_model", _model_sql())
 def risk_model(t: Tables) -> DataFrame:
     """Risk regressor on window features, trained on the earlier rows and applied to all."""
     rows = materialise(published(t), "readings")
-    cutoff = features.cutoff_micros(rows)
-    scaling = features.fit(rows.filter(features.is_training(cutoff)))
-    windows = materialise(features.last_and_mean(rows, scaling, LENGTH), "windows")
-    model = features.train_regressor(windows.filter(features.is_training(cutoff)), scaling.width)
-    scored = model.transform(windows).withColumn("predicted_risk", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("raw_risk"))))
+    train = features.is_training(features.cutoff_micros(rows))
+    scaling = features.fit(rows.filter(train))
+    windows = materialise(features.window_units(rows, scaling, LENGTH), "windows")
+    risk = features.train_regressor(windows.filter(train), scaling.width, LENGTH)
+    scored = windows.withColumn("predicted_risk", round_to(F.greatest(F.lit(0.0), F.least(F.lit(1.0), risk)), 6))
     return scored.select(
         "asset_id", "event_id", "risk_proxy", "predicted_risk", failure_hours("predicted_risk").alias("time_to_failure_hours"),
-        F.when(features.is_training(cutoff), "train").otherwise("validation").alias("part"),
+        F.when(train, "train").otherwise("validation").alias("part"),
     )
 
 

@@ -47,6 +47,8 @@ def with_tables(sql: str) -> str:
         return sql.strip()
     ctes = ",\n".join(f"{n} as (\n{tables[n]}\n)" for n in tables if n in wanted)
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {ctes},\n{body[15:]}"
     if body.lower().startswith("with "):
         return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{body}"

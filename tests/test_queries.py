@@ -28,4 +28,4 @@ def test_entry(spark):
 
 
 def test_queries_without_a_check_are_few():
-    assert set(QUERIES) - set(ORACLES) == {"prompt_table", "risk_model"}
+    assert set(QUERIES) - set(ORACLES) == {"prompt_table"}
