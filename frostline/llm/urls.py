@@ -1,8 +1,11 @@
 """URL filter: listed rules, and association rules mined from the URLs they judge.
 
 Method: association-rule filtering. Spark's FP-growth mines combinations of
-URL tokens and verdicts from labelled URLs; rules with enough support and
-confidence are kept and matched through an inverted index from token to rule.
+URL tokens and verdicts from labelled URLs; rules with enough support,
+confidence and lift are kept and matched through an inverted index from token to rule.
+
+Lists name hosts, so among the pages they judge the site (the host's last two labels) says where a list looked, not what was
+found there, and is no token. Names before the site, folders and endings are.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ RULES = (
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LABEL = "verdict="
-#: Verdict of pages that no list names; no rule gives it.
-UNLISTED = "unlisted"
+#: Words of the names before the site that are tokens. A url has at most 6 + 3 + 1 tokens, so at most 1,023 combinations.
+WORDS = 6
 
 
 def _rest(url: Column) -> Column:
@@ -50,32 +53,50 @@ def listed(host_: Column, path_: Column, rules: tuple = RULES) -> tuple[Column,
     return rule, verdict
 
 
+def _folded(name: Column) -> Column:
+    return F.regexp_replace(F.lower(name), "[0-9]+", "#")
+
+
 def tokens(host_: Column, path_: Column) -> Column:
-    """The host's last two labels and its first, the first folder, and the file's ending; distinct."""
+    """Words before the host's last two labels, the first two folders and the last, and the file's ending.
+
+    Distinct, lower-case, digits folded to ``#``. Words are the parts between dots and hyphens, the WORDS nearest the site.
+    """
     labels = F.split(host_, r"\.")
     n = F.size(labels)
-    folder = F.regexp_extract(path_, r"^/([^/]*)/", 1)
+    names = F.when(n > 2, F.slice(labels, 1, F.greatest(n - 2, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    words = F.array_distinct(F.filter(F.flatten(F.transform(names, lambda x: F.split(_folded(x), "-"))), lambda x: x != ""))
+    words = F.reverse(F.slice(F.reverse(words), 1, WORDS))
+    parts = F.split(path_, "/")
+    folders = F.filter(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x != "")
+    chosen = F.concat(F.slice(folders, 1, 2), F.when(F.size(folders) > 2, F.slice(folders, -1, 1)).otherwise(F.array().cast("array<string>")))
     ending = F.regexp_extract(path_, r"\.([A-Za-z0-9]{1,8})$", 1)
-    return F.array_distinct(F.filter(F.array(
-        F.concat(F.lit("top="), F.element_at(labels, -1)),
-        F.when(n > 1, F.concat(F.lit("site="), F.element_at(labels, -2))),
-        F.when(n > 2, F.concat(F.lit("sub="), F.element_at(labels, 1))),
-        F.when(folder != "", F.concat(F.lit("folder="), F.lower(folder))),
-        F.when(ending != "", F.concat(F.lit("ending="), F.lower(ending))),
-    ), lambda x: x.isNotNull()))
+    return F.array_distinct(F.concat(
+        F.when(ending != "", F.array(F.concat(F.lit("ending="), _folded(ending)))).otherwise(F.array().cast("array<string>")),
+        F.transform(words, lambda x: F.concat(F.lit("word="), x)),
+        F.transform(chosen, lambda x: F.concat(F.lit("folder="), _folded(x))),
+    ))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8) -> DataFrame:
+def mine(
+    labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, min_lift: float = 1.2, least: int = 20,
+) -> DataFrame:
     """Rules (rule_id, tokens, verdict, confidence, support) from rows (tokens, verdict).
 
-    Rules that name a superset of another rule's tokens with the same verdict
-    and no more confidence are dropped.
+    A rule holds for at least ``min_support`` of the rows and ``least`` of them, and is ``min_lift`` times as often right as its verdict is
+    among all rows. Rules that name a superset of another rule's tokens with the same verdict
+    and no more confidence are dropped. Without rows there are no rules.
     """
     baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    rows = max(labelled.count(), 1)
+    # Half a row less: a share of whole rows is not lost by rounding.
+    support = min(1.0, max(min_support, (least - 0.5) / rows))
+    if rows < least:
+        baskets = baskets.limit(0)
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     says = F.element_at("consequent", 1)
     rules = (
-        model.associationRules.where(says.startswith(_LABEL) & (says != _LABEL + UNLISTED))
+        model.associationRules.where(says.startswith(_LABEL) & (F.col("lift") >= min_lift))
         .where(~F.exists("antecedent", lambda x: x.startswith(_LABEL)))
         .select(
             F.array_sort("antecedent").alias("tokens"),
@@ -115,25 +136,51 @@ def match(pages: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     return pages.select(key, "tokens").join(best, "tokens").select(key, "mined")
 
 
+def described(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
+    """page_id, host, path, the listed rule that fits and its verdict (null if none), and the url's tokens."""
+    host_, path_ = host(F.coalesce("url", F.lit(""))), path(F.coalesce("url", F.lit("")))
+    plain = pages.select("page_id", host_.alias("host"), path_.alias("path"))
+    rule, verdict = listed(F.col("host"), F.col("path"), rules)
+    return plain.withColumns({"rule": rule, "listed": verdict, "tokens": tokens(F.col("host"), F.col("path"))})
+
+
+def labels(seen: DataFrame) -> DataFrame:
+    """Rows (tokens, verdict) of the pages that a list judges, to mine from."""
+    return seen.where("rule is not null").select("tokens", F.col("listed").alias("verdict"))
+
+
 def judge(
     pages: DataFrame, rules: tuple = RULES, min_support: float = 0.002, min_confidence: float = 0.8, default: str = "allow",
+    min_lift: float = 1.2, least: int = 20,
 ) -> DataFrame:
     """Verdict on every page's url: a listed rule's, else that of the mined rules, else the default.
 
-    The URLs that listed rules judge are the labelled examples, all others count as unlisted. Returns
-    page_id, host, path, rule (null if none fits) and verdict, a row for each
+    The URLs that listed rules judge are the labelled examples. Returns
+    page_id, host, path, rule (null if none fits), verdict, and mined (whether a mined rule gave it), a row for each
     input row: repeated rows, null urls and null ids keep theirs. A null url or one without
     ``://`` has an empty host and path. Other columns of the input are ignored. An empty
     table gives an empty result; without labelled rows the default holds.
     """
-    host_, path_ = host(F.coalesce("url", F.lit(""))), path(F.coalesce("url", F.lit("")))
-    plain = pages.select("page_id", host_.alias("host"), path_.alias("path"))
-    rule, verdict = listed(F.col("host"), F.col("path"), rules)
-    seen = plain.withColumns({"rule": rule, "listed": verdict, "tokens": tokens(F.col("host"), F.col("path"))})
-    # Pages that no list names count against a rule's confidence: the lists cover what they were written for, no even sample.
-    labelled = seen.select("tokens", F.coalesce("listed", F.lit(UNLISTED)).alias("verdict"))
+    seen = described(pages, rules)
     open_ = seen.where("rule is null").select("tokens").distinct()
-    mined = match(open_.withColumn("_shape", F.col("tokens")), mine(labelled, min_support, min_confidence), "_shape")
+    mined = match(open_.withColumn("_shape", F.col("tokens")), mine(labels(seen), min_support, min_confidence, min_lift, least), "_shape")
+    said = F.when(F.col("rule").isNull(), F.col("mined"))
     return seen.join(mined.withColumnRenamed("_shape", "tokens"), "tokens", "left").select(
-        "page_id", "host", "path", "rule", F.coalesce("listed", F.when(F.col("rule").isNull(), F.col("mined")), F.lit(default)).alias("verdict"),
+        "page_id", "host", "path", "rule", F.coalesce("listed", said, F.lit(default)).alias("verdict"), said.isNotNull().alias("mined"),
+    )
+
+
+def agreement(pages: DataFrame, rules: tuple = RULES, folds: int = 5, **mining: float) -> DataFrame:
+    """How mined rules judge listed pages they were not mined from: one row (pages, decided, agree).
+
+    One of ``folds`` parts of the hosts and paths, by hash, is held out.
+    """
+    seen = described(pages, rules)
+    held = F.pmod(F.xxhash64("host", "path"), F.lit(folds)) == 0
+    asked = seen.where("rule is not null").where(held).select(
+        F.struct(F.monotonically_increasing_id().alias("n"), "listed").alias("page"), "tokens"
     )
+    found = match(asked, mine(labels(seen.where(~held)), **mining), "page")
+    return found.agg(F.count(F.lit(1)).alias("decided"), F.count_if(F.col("mined") == F.col("page.listed")).alias("agree")).crossJoin(
+        F.broadcast(asked.agg(F.count(F.lit(1)).alias("pages")))
+    ).select("pages", "decided", "agree")
