@@ -14,6 +14,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frostline.session import materialise
+
 #: (verdict, rule): host, then the path's start; the host's subdomains count too.
 RULES = (
     ("allow", "com/"),
@@ -27,6 +29,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LABEL = "verdict="
 #: Words of the names before the site that are tokens. A url has at most 6 + 3 + 1 tokens, so at most 1,023 combinations.
 WORDS = 6
+#: A token set with this part of the unlisted pages, or more, is common.
+COMMON = 1_000
 
 
 def _rest(url: Column) -> Column:
@@ -151,7 +155,7 @@ def labels(seen: DataFrame) -> DataFrame:
 
 def judge(
     pages: DataFrame, rules: tuple = RULES, min_support: float = 0.002, min_confidence: float = 0.8, default: str = "allow",
-    min_lift: float = 1.2, least: int = 20,
+    min_lift: float = 1.2, least: int = 20, common: int = COMMON,
 ) -> DataFrame:
     """Verdict on every page's url: a listed rule's, else that of the mined rules, else the default.
 
@@ -162,10 +166,20 @@ def judge(
     table gives an empty result; without labelled rows the default holds.
     """
     seen = described(pages, rules)
-    open_ = seen.where("rule is null").select("tokens").distinct()
-    mined = match(open_.withColumn("_shape", F.col("tokens")), mine(labels(seen), min_support, min_confidence, min_lift, least), "_shape")
-    said = F.when(F.col("rule").isNull(), F.col("mined"))
-    return seen.join(mined.withColumnRenamed("_shape", "tokens"), "tokens", "left").select(
+    open_ = seen.where("rule is null")
+    total = open_.count()
+    shapes = open_.groupBy("tokens").agg((F.count(F.lit(1)) * common >= total).alias("common"))
+    fits = match(shapes.withColumn("_shape", F.col("tokens")), mine(labels(seen), min_support, min_confidence, min_lift, least), "_shape")
+    found = materialise(shapes.join(fits.withColumnRenamed("_shape", "tokens"), "tokens", "left"), "mined")
+    # Common token sets, ``common`` at most, are broadcast; their pages and the listed ones are spread over a join that has nothing for them.
+    often = F.broadcast(found.where("common").select("tokens", "common", F.col("mined").alias("_often")))
+    rare = found.where("not common").select(F.col("tokens").alias("_key"), F.col("mined").alias("_rare"))
+    alone = F.array(F.lit(""), F.monotonically_increasing_id().cast("string"))
+    keyed = seen.withColumn("_alone", alone).join(often, "tokens", "left").withColumn(
+        "_key", F.when(F.col("rule").isNull() & F.col("common").isNull(), F.col("tokens")).otherwise(F.col("_alone"))
+    )
+    said = F.when(F.col("rule").isNull(), F.coalesce("_often", "_rare"))
+    return keyed.join(rare, "_key", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("listed", said, F.lit(default)).alias("verdict"), said.isNotNull().alias("mined"),
     )
 
