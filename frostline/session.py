@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,10 +41,20 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
     Where no checkpoint folder is named, the warehouse holds it: driver and
-    executors share that too.
+    executors share that too. A warehouse on the driver's own disk is warned of where executors are elsewhere.
     """
-    named = spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get("spark.sql.warehouse.dir")
-    return named.rstrip("/")
+    named = spark.conf.get(CHECKPOINT_DIR, None)
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if perhaps_local(warehouse, spark.sparkContext.master):
+        warnings.warn(f"work tables go to {warehouse}, which executors may not reach: set {CHECKPOINT_DIR} to a shared folder", stacklevel=2)
+    return warehouse.rstrip("/")
+
+
+def perhaps_local(folder: str, master: str) -> bool:
+    """Whether a folder may be one machine's own while the executors run on others."""
+    return folder.startswith(("file:", "/")) and not master.startswith("local")
 
 
 def work_path(spark: SparkSession, name: str) -> str:

@@ -108,3 +108,10 @@ def test_haversine(spark):
 def test_failure_hours(spark):
     got = evaluate(spark, [(0.0,), (1.0,), (0.5,), (2.0,), (-1.0,)], "x double", r=numeric.failure_hours("x"))
     assert [r[0] for r in got] == [72.0, 6.0, 39.0, 6.0, 72.0]
+
+
+def test_folders_of_one_machine_are_told():
+    from frostline.session import perhaps_local
+
+    assert perhaps_local("file:/tmp/w", "spark://a:7077") and perhaps_local("/tmp/w", "yarn")
+    assert not perhaps_local("file:/tmp/w", "local[8]") and not perhaps_local("hdfs://a/w", "yarn") and not perhaps_local("s3a://a/w", "k8s://a")
