@@ -329,3 +329,30 @@ def test_latest_and_changed(spark):
         assert newest[asset] == series[-1][1]
         expected |= {b[1] for a, b in zip([None, *series], series) if a is None or a[4] != b[4]}
     assert kept == expected
+
+
+def test_numbering_of_rows_made_of_numbered_ones(spark, monkeypatch):
+    monkeypatch.setattr(running, "STRETCH", 7)
+    rows = [(n, place) for n in range(1, 60) for place in range(n % 3)]
+    df = spark.createDataFrame(random.Random(5).sample(rows, len(rows)), "n bigint, place int").repartition(3)
+    got = {(r["n"], r["place"]): r["number"] for r in running.numbered_within(df, "n", ["place"]).collect()}
+    assert got == {row: i for i, row in enumerate(rows, 1)}
+    assert running.numbered_within(df.limit(0), "n", ["place"]).collect() == []
+
+
+def test_numbering_sorts_ranges_as_they_are_written(spark):
+    """Numbered rows come from the written table, no window moves them again."""
+    df = spark.createDataFrame([(i * 37 % 101,) for i in range(101)], "v int").repartition(5)
+    numbered = running.numbered_rows(df, ["v"])
+    assert {r["v"]: r["number"] for r in numbered.collect()} == {v: v + 1 for v in range(101)}
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+
+
+def test_decisions_keep_the_number_their_case_has(spark):
+    from frostline.plans.decide import decision_table
+    from frostline.plans.tables import Tables
+
+    records = decision_table(Tables(spark, "/root/testdata/sf0.001"))
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
