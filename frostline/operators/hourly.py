@@ -16,12 +16,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, partitions
 from .running import ranged
 
 #: Microseconds of an hour; times are whole microseconds, so sums do not depend on how they are split.
 HOUR = 3_600_000_000
 
+# Groups of keys in a range.
+GROUPS = 32
+
 
 def following(total: np.ndarray) -> np.ndarray:
     """The reading that restarts the hour after a restart at each one, by running time; the number of readings where none does."""
@@ -84,31 +87,51 @@ def hourly_counter(rows: DataFrame, key: str, order: Sequence[str], step: Column
     marked = ranged(known, key, *order)
     kind = rows.schema[key].dataType.simpleString()
 
+    # Many small keys share a group: a call for each would cost more than its readings.
+    group = F.pmod(F.xxhash64(key), F.lit(GROUPS)).cast("int")
+
+    def by_key(frame: pd.DataFrame) -> tuple[pd.DataFrame, list[slice]]:
+        """The rows by key, each key's in order, and where each key's rows are."""
+        frame = frame.sort_values([key, *order], kind="stable", na_position="first", ignore_index=True)
+        keys = frame[key].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist()
+        return frame, [slice(start, end) for start, end in zip(starts, [*starts[1:], len(frame)])]
+
     def functions(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(list(order), kind="stable", na_position="first")
-        made = function_of(frame["_step"].to_numpy(), frame["_units"].to_numpy())
+        frame, parts = by_key(frame)
+        step, units = frame["_step"].to_numpy(), frame["_units"].to_numpy()
+        out = [function_of(step[p], units[p]) for p in parts]
+        sizes = [len(made) for made in out]
+        made = pd.concat(out, ignore_index=True)
         made.insert(0, "_chunk", frame["_chunk"].iloc[0])
-        made.insert(0, key, frame[key].iloc[0])
-        return made.assign(place=np.arange(len(made)))
+        made.insert(0, key, np.repeat(frame[key].to_numpy()[[p.start for p in parts]], sizes))
+        return made.assign(place=np.concatenate([np.arange(n) for n in sizes]))
 
     def composed(frame: pd.DataFrame) -> pd.DataFrame:
-        hour = done = 0
-        out = []
-        for chunk, part in frame.sort_values(["_chunk", "place"], kind="stable").groupby("_chunk", sort=True):
-            out.append((frame[key].iloc[0], chunk, hour, done))
-            hour, done = applied(hour, done, *(part[c].to_numpy() for c in ("needs", "hour", "units")))
+        frame = frame.sort_values([key, "_chunk", "place"], kind="stable", ignore_index=True)
+        out, last, hour, done = [], None, 0, 0
+        keys, chunks = frame[key].to_numpy(), frame["_chunk"].to_numpy()
+        columns = [frame[c].to_numpy() for c in ("needs", "hour", "units")]
+        cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (chunks[1:] != chunks[:-1])])).tolist()
+        for start, end in zip(cuts, [*cuts[1:], len(frame)]):
+            if keys[start] != last:
+                last, hour, done = keys[start], 0, 0
+            out.append((last, chunks[start], hour, done))
+            hour, done = applied(hour, done, *(c[start:end] for c in columns))
         return pd.DataFrame(out, columns=[key, "_chunk", "_hour", "_done"])
 
     small = marked.select(key, "_chunk", *order, "_step", "_units")
-    tables = small.groupBy(key, "_chunk").applyInPandas(functions, f"{key} {kind}, _chunk int, needs long, hour long, units long, place long")
-    starts = materialise(tables.groupBy(key).applyInPandas(composed, f"{key} {kind}, _chunk int, _hour long, _done long"), "starts")
+    tables = small.groupBy("_chunk", group).applyInPandas(functions, f"{key} {kind}, _chunk int, needs long, hour long, units long, place long")
+    spread = F.pmod(F.xxhash64(key), F.lit(GROUPS * partitions(rows.sparkSession))).cast("int")
+    starts = materialise(tables.groupBy(spread).applyInPandas(composed, f"{key} {kind}, _chunk int, _hour long, _done long"), "starts")
 
     def counted(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(list(order), kind="stable", na_position="first")
-        values = run(frame["_step"].to_numpy(), frame["_units"].to_numpy(), int(frame["_hour"].iloc[0]), int(frame["_done"].iloc[0]))
-        return frame.drop(columns=["_step", "_units", "_chunk", "_hour", "_done"]).assign(**{name: values})
+        frame, parts = by_key(frame)
+        step, units, hour, done = (frame[c].to_numpy() for c in ("_step", "_units", "_hour", "_done"))
+        values = [run(step[p], units[p], int(hour[p.start]), int(done[p.start])) for p in parts]
+        return frame.drop(columns=["_step", "_units", "_chunk", "_hour", "_done"]).assign(**{name: np.concatenate(values)})
 
     schema = rows.schema.add(name, "long")
-    return marked.join(starts, [key, "_chunk"]).groupBy(key, "_chunk").applyInPandas(
+    return marked.join(starts, [key, "_chunk"]).groupBy("_chunk", group).applyInPandas(
         lambda frame: counted(frame)[[f.name for f in schema.fields]], schema
     )

@@ -85,3 +85,20 @@ def test_counter_of_an_asset_with_most_rows(spark):
 def test_counter_without_rows(spark):
     none = spark.createDataFrame([], "asset string, id long, ts timestamp, minutes long, units long")
     assert hourly.hourly_counter(none, "asset", ["ts", "id"], F.col("minutes"), F.col("units"), "counter").collect() == []
+
+
+def test_small_assets_share_a_call_of_the_hourly_counter(spark):
+    rng = random.Random(11)
+    rows = [(f"A{a}", i, START + dt.timedelta(minutes=rng.randrange(600)), rng.randrange(1, 50), rng.randrange(3)) for a in range(200) for i in range(rng.randrange(1, 8))]
+    df = spark.createDataFrame(rows, "asset string, id int, ts timestamp, minutes long, units int").repartition(3)
+    found = hourly.hourly_counter(df, "asset", ["ts", "id"], F.col("minutes") * 60_000_000, F.col("units"), "counter")
+    assert "FlatMapGroupsInPandas [_chunk" in found._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for asset in {r[0] for r in rows}:
+        hour = done = 0
+        for r in sorted((r for r in rows if r[0] == asset), key=lambda r: (r[2], r[1])):
+            step = r[3] * 60_000_000
+            hour, done = (0, 0) if hour + step >= hourly.HOUR else (hour + step, done)
+            done += r[4] * step
+            want[asset, r[1]] = done
+    assert {(r["asset"], r["id"]): r["counter"] for r in found.collect()} == want
