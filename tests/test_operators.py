@@ -199,6 +199,34 @@ def test_benefit_is_zero_when_the_centre_cannot_be_used(spark):
     assert "ETA exceeds failure window by 1.0 hours" in got[2]["benefit_rationale"]
 
 
+def test_offers_stay_in_the_row_of_their_case(spark):
+    """Cases with one pair of keys keep their own offers, and those that are not urgent, or have no place or no centre near, stay too."""
+    rng = random.Random(5)
+    centres = [(f"C{i:02d}", f"n{i}", 28 + rng.uniform(-1, 1), 77 + rng.uniform(-1, 1), 10, rng.choice([0, 4]), "operational", ["meat"], 1) for i in range(20)]
+    schema = ("asset_id string, prediction_id bigint, gps_lat double, gps_lon double, cargo_type string, scenario string, refrigeration_failed boolean, "
+              "combined_score double, time_to_failure_hours double, risk_level string")
+    rows = [("A", 1, 28.0, 77.0, "meat", "normal", False, 0.8, None, "high"), ("A", 1, 28.9, 77.9, "meat", "normal", False, 0.97, 5.0, "critical"),
+            ("B", 2, 28.0, 77.0, "meat", "normal", True, 0.8, 0.1, "high"), ("C", 3, None, 77.0, "meat", "normal", False, 0.8, None, "high"),
+            ("D", 4, -40.0, 0.0, "meat", "normal", False, 0.8, None, "high"), ("E", 5, 28.0, 77.0, "meat", "normal", False, 0.1, None, "low"),
+            ("F", 6, 28.0, 77.0, "meat", "normal", False, 0.1, None, None)]
+    cases, open_ = spark.createDataFrame(rows, schema), spark.createDataFrame(centres, profiles.CENTRE_SCHEMA)
+    got = decisions.with_reroute(cases, open_).collect()
+    assert sorted(tuple(r)[:2] for r in got) == sorted(r[:2] for r in rows)
+    by = {(r["asset_id"], r["combined_score"]): r for r in got}
+    for (asset, score), r in by.items():
+        assert (r["alternatives"] is None) == (asset in "CDEF"), asset
+        if r["alternatives"] is None:
+            assert r["recommended_dc"] is None
+            continue
+        want = 3 if r["risk_level"] == "critical" else 2
+        near = sorted((round(great_circle(r["gps_lat"], r["gps_lon"], c[2], c[3]), 2), c[5] - c[4], c[8], c[0]) for c in centres)[: max(3, 2 * want)]
+        lone = spark.createDataFrame([(*tuple(r)[:10], km, c) for km, c in [(n[0], next((x[0], x[1], x[2], x[3], x[4], x[5], x[4] - x[5], x[6], x[7], x[8]) for x in centres if x[0] == n[3])) for n in near]],
+                                     schema + ", distance_km double, centre struct<id:string,name:string,lat:double,lon:double,capacity:int,current_load:int,available_capacity:int,refrigeration_status:string,supported_cargo_types:array<string>,priority_rank:int>")
+        scored = sorted(routing.benefit(lone).collect(), key=lambda o: (-o["benefit_score"], o["distance_km"], -o["centre"]["available_capacity"], o["centre"]["id"]))[:want]
+        assert [(d["id"], d["benefit_score"], d["rationale"]) for d in r["alternatives"]] == [(o["centre"]["id"], o["benefit_score"], o["benefit_rationale"]) for o in scored]
+        assert (r["recommended_dc"] is not None) == (scored[0]["benefit_score"] > 0)
+
+
 def test_route_follower(spark):
     driven = [("agra_delhi", float(d)) for d in range(-5, 260, 7)]
     got = routing.route_position(spark.createDataFrame(driven, "route string, driven_km double"), profiles.default_routes(spark)).collect()
