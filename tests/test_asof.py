@@ -39,6 +39,27 @@ def test_neighbours_of_three_kinds(spark, seed):
     assert mine == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("whole", [0, 150, 100_000])
+def test_keys_stay_whole_or_are_cut(spark, monkeypatch, whole):
+    """Small keys send no edges; matches are the same however many keys are cut."""
+    rng = random.Random(7)
+    names = ["HOT"] * 6 + [f"T{i}" for i in range(8)]
+    sides = [
+        spark.createDataFrame([(rng.choice(names), i, START + dt.timedelta(seconds=rng.randrange(60_000) // 20 * 20)) for i in range(400)] + [(None, 900, START), ("HOT", 901, None)], "asset string, id long, ts timestamp")
+        for _ in range(2)
+    ]
+    monkeypatch.setattr(asof, "WHOLE", whole)
+    cut = [r[0] for r in asof.large_keys("asset", *sides).collect() if r[0]]
+    assert sorted(cut) == (sorted(set(names)) if whole == 0 else ["HOT"] if whole == 150 else [])
+    flow = asof.flow_of(*[asof.tagged(side, k, "asset", order="id") for k, side in enumerate(reversed(sides))])
+    dealt = asof.with_neighbours(flow, 900, [asof.RIGHT], True, cut=asof.large_keys("asset", *sides))
+    assert {r[0] for r in dealt.filter("_bucket is not null").select("_key").distinct().collect()} == set(cut)
+    found = lambda: sorted((r[0], r[1] if r[1] is not None else -1, r[2]) for r in asof.match_latest(*sides, "asset", left_order="id", right_order="id", max_age_s=900, wait_s=600).select("left.id", "right.id", "waited").collect())
+    mine = found()
+    monkeypatch.setattr(asof, "WHOLE", 0)
+    assert mine == found() and len(mine) == 400
+
+
 def by_hand(steps, units):
     hour = done = 0
     out = []
