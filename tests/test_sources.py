@@ -221,3 +221,18 @@ def test_prompts_hold_documents_and_task(spark):
 def test_profiles_are_inline_tables(spark):
     assert profiles.cargo_profiles(spark).count() == 10 and profiles.rooms(spark).count() == 5
     assert profiles.default_centres(spark).filter("array_contains(supported_cargo_types, 'meat')").count() == 3
+
+
+def test_each_action_of_a_decision_is_decoded_once(spark):
+    listed = [
+        {"type": " Reroute", "etahours": "1.5", "benefitscore": 80, "targetdc": "DC_1", "dcname": "One", "recommendedaction": "go"},
+        {"actiontype": "NOTIFY", "eta_hours": "soon", "benefit_score": None, "priority": "HIGH", "description": " d ", "tool": "x"},
+        7,
+        {},
+    ]
+    got = msg.normalise_decision(msg.decode(sent(spark, ("x", {"actions": listed, "analysis": {"riskscore": 0.5}}))))
+    # The message, its analysis, factors, actions, results, reading and prediction, and each action.
+    assert got._jdf.queryExecution().optimizedPlan().toString().lower().count("from_json(") <= 8
+    assert [tuple(a) for a in got.first()["actions"]] == [
+        ("reroute", "", "medium", "", "go", "DC_1", "One", 1.5, 80.0), ("notify", "d", "high", "x", "", "", "", 0.0, 0.0), ("unknown", "", "medium", "", "", "", "", 0.0, 0.0),
+    ]
